@@ -289,3 +289,98 @@ FROM (SELECT t.route_id, t.variant, t.elevation_gain_m, t.terrain_risk, u.* EXCL
       FROM terrain t JOIN request r USING (route_id) JOIN site USING (route_id)
       JOIN utilization u USING (route_id, variant) JOIN bridge_count b USING (route_id, variant)
       JOIN social s USING (route_id, variant) JOIN earthwork e USING (route_id, variant))""")
+
+cte("way", "", """
+SELECT o_orderkey AS way_id,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'primary' WHEN '2-HIGH' THEN 'secondary' WHEN '3-MEDIUM' THEN 'trunk'
+            WHEN '4-NOT SPECIFIED' THEN 'tertiary' WHEN '5-LOW' THEN 'track' END AS highway_type,
+       CASE o_orderstatus WHEN 'F' THEN 'asphalt' WHEN 'P' THEN 'gravel' END AS raw_surface,
+       CASE WHEN o_orderkey % 5 <> 0 THEN 'Road ' || o_orderkey END AS raw_name,
+       coalesce(raw_surface, 'unpaved') AS surface, coalesce(raw_name, 'Unnamed_Road_' || o_orderkey) AS name
+FROM orders""")
+
+cte("vertex", "node", """
+SELECT way_id, pos, ref, lat, lon
+FROM (SELECT l_orderkey AS way_id, l_partkey AS ref, row_number() OVER (PARTITION BY l_orderkey
+             ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos FROM lineitem)
+JOIN node ON node_id = ref""")
+
+cte("major_way", "way vertex", f"""
+SELECT * FROM way WHERE highway_type IN {MAJOR}
+   AND (SELECT count(*) FROM vertex WHERE vertex.way_id = way.way_id) >= 2""")
+
+cte("any_edge", "way vertex", f"""
+SELECT a.way_id || '_' || a.pos AS edge_id, a.way_id, a.pos, a.ref AS source, b.ref AS target,
+       a.lat AS lat1, a.lon AS lon1, b.lat AS lat2, b.lon AS lon2,
+       {haversine('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS distance_m, name, highway_type, surface
+FROM vertex a JOIN vertex b ON a.way_id = b.way_id AND b.pos = a.pos + 1 JOIN way ON way.way_id = a.way_id""")
+
+cte("edge", "any_edge major_way", "SELECT * FROM any_edge WHERE way_id IN (SELECT way_id FROM major_way)")
+
+cte("network_node", "vertex major_way", """
+SELECT ref AS node_id, arg_min(lat, {'w': way_id, 'p': pos}) AS lat, arg_min(lon, {'w': way_id, 'p': pos}) AS lon
+FROM vertex WHERE way_id IN (SELECT way_id FROM major_way) GROUP BY ref""")
+
+cte("classified", "any_edge", f"""
+SELECT edge_id, way_id, distance_m,
+       CASE WHEN way_id % 7 = 0 THEN 'new_construction' ELSE 'upgrade_existing' END AS construction_type,
+       (CASE WHEN way_id % 7 = 0 THEN 1.0 WHEN highway_type IN {MAJOR} THEN 0.3
+            WHEN highway_type IN ('tertiary', 'tertiary_link') THEN 0.5 WHEN surface IN {PAVED} THEN 0.4
+            ELSE 0.7 END)::DOUBLE AS cost_factor
+FROM any_edge""")
+
+
+def snapped(points: str, key: str, nodes: str, radius_m: int) -> str:
+    """Nearest node in reach per point, null beyond; ``points`` carries ``key``, lat and lon."""
+    distance = planar("p.lat", "p.lon", "n.lat", "n.lon") + " * 111000"
+    return f"""
+SELECT {key}, p_lat AS lat, p_lon AS lon, CASE WHEN b.d <= {radius_m} THEN b.id END AS node_id,
+       CASE WHEN b.d <= {radius_m} THEN b.d END AS snap_m, CASE WHEN b.d <= {radius_m} THEN b.lat END AS n_lat,
+       CASE WHEN b.d <= {radius_m} THEN b.lon END AS n_lon
+FROM (SELECT {key}, any_value(p.lat) AS p_lat, any_value(p.lon) AS p_lon,
+             min({{'d': {distance}, 'id': n.node_id, 'lat': n.lat, 'lon': n.lon}}) AS b
+      FROM {points} p, {nodes} n GROUP BY {key})"""
+
+
+cte("request_end", "request", """
+SELECT route_id, 'start' AS side, start_lat AS lat, start_lon AS lon FROM request
+UNION ALL SELECT route_id, 'end', end_lat, end_lon FROM request""")
+cte("end_all_nodes", "request_end node", snapped("request_end", "route_id, side", "node", 2000))
+cte("end_network", "request_end network_node", snapped("request_end", "route_id, side", "network_node", 2000))
+
+cte("ends", "end_network", """
+SELECT route_id, max(CASE WHEN side = 'start' THEN node_id END) AS start_node,
+       max(CASE WHEN side = 'end' THEN node_id END) AS end_node FROM end_network GROUP BY route_id""")
+
+cte("sample", "request", """
+SELECT route_id, i::INTEGER AS seq, start_lat + (i::DOUBLE / 10) * (end_lat - start_lat) AS lat,
+       start_lon + (i::DOUBLE / 10) * (end_lon - start_lon) AS lon FROM request, unnest(range(0, 11)) r(i)""")
+cte("sample_all_nodes", "sample node", snapped("sample", "route_id, seq", "node", 5000))
+cte("sample_network", "sample network_node", snapped("sample", "route_id, seq", "network_node", 5000))
+
+cte("criterion_cost", "edge", """
+SELECT edge_id, source, target, c AS criterion, distance_m * CASE WHEN c = 'shortest' THEN 1
+       WHEN highway_type IN ('primary', 'secondary') THEN 0.8 WHEN highway_type = 'track' THEN 1.5 ELSE 1 END::DOUBLE AS w
+FROM edge, (VALUES ('shortest'), ('safest')) v(c)""")
+
+cte("origin", "ends", """
+SELECT DISTINCT c AS criterion, start_node AS origin FROM ends, (VALUES ('shortest'), ('safest')) v(c)
+WHERE start_node IS NOT NULL AND end_node IS NOT NULL AND start_node <> end_node""")
+
+
+DISTANCES = """
+reach(criterion, origin, node, cost) USING KEY (criterion, origin, node) AS (
+  SELECT criterion, origin, origin AS node, 0::DOUBLE AS cost FROM origin
+  UNION
+  SELECT reach.criterion, reach.origin, e.target, min(reach.cost + e.w)
+  FROM reach JOIN criterion_cost e ON e.source = reach.node AND e.criterion = reach.criterion
+  LEFT JOIN recurring.reach k ON k.criterion = reach.criterion AND k.origin = reach.origin AND k.node = e.target
+  WHERE k.cost IS NULL OR reach.cost + e.w < k.cost
+  GROUP BY ALL)"""
+
+
+def with_distances(reads: str, select: str) -> str:
+    """``select`` with the table ``reach`` of least costs from every start node."""
+    head = with_ctes(reads + " origin criterion_cost", "")
+    head = head.replace("WITH RECURSIVE ", "WITH ", 1).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
+    return f"{head},{DISTANCES}\n{select}"

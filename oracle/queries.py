@@ -1,6 +1,6 @@
 """One SQL text per query name."""
 
-from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes
+from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes, with_distances
 
 SQL: dict[str, str] = {}
 
@@ -70,3 +70,80 @@ SELECT route_id, variant, CASE variant WHEN 'safest' THEN 'route-2' ELSE 'route-
        total_waypoints, total_length_m, max_gradient_percent, avg_gradient_percent, trunc(cut)::BIGINT AS total_cut_m3,
        trunc(fill)::BIGINT AS total_fill_m3, trunc(cut - fill)::BIGINT AS balance_m3, balance_status, recommended
 FROM plan""")
+
+SQL["ways_filtered"] = with_ctes("major_way vertex", """
+SELECT way_id, highway_type, name, surface, NULL::VARCHAR AS condition FROM major_way m
+WHERE EXISTS (SELECT 1 FROM vertex v WHERE v.way_id = m.way_id AND v.lat BETWEEN 29::DOUBLE AND 31::DOUBLE
+              AND v.lon BETWEEN 78::DOUBLE AND 80.5::DOUBLE)""")
+ISSUES = """
+SELECT way_id, 'name' AS kind, 'Road ' || way_id || ' missing name, using default' AS issue
+FROM major_way WHERE raw_name IS NULL
+UNION ALL SELECT way_id, 'surface', 'Road ' || way_id || ' missing surface, defaulting to unpaved'
+FROM major_way WHERE raw_surface IS NULL
+UNION ALL SELECT DISTINCT l_orderkey, 'location', 'Error processing way ' || l_orderkey || ': invalid location'
+FROM lineitem WHERE l_partkey NOT IN (SELECT node_id FROM node)"""
+SQL["quality_issues"] = with_ctes("major_way node", ISSUES)
+SQL["first_issues"] = with_ctes("major_way node", f"SELECT * FROM ({ISSUES}) ORDER BY way_id, kind LIMIT 10")
+SQL["network_nodes"] = with_ctes("network_node", "SELECT node_id, lat, lon, 0 AS elevation FROM network_node")
+SQL["edges"] = with_ctes("edge", "SELECT * REPLACE (round(distance_m, 3) AS distance_m) FROM edge")
+SQL["way_length"] = with_ctes("edge", """
+SELECT way_id, count(*) AS edges, round(sum(distance_m), 3) AS distance_m FROM edge GROUP BY way_id""")
+SQL["adjacency"] = with_ctes("edge", """
+SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
+FROM (SELECT source AS node_id, 1 AS o, 0 AS i FROM edge UNION ALL SELECT target, 0, 1 FROM edge) GROUP BY node_id""")
+SQL["network_stats"] = with_ctes("edge network_node major_way", """
+SELECT (SELECT count(*) FROM major_way) AS total_roads, (SELECT count(*) FROM network_node) AS total_nodes,
+       (SELECT count(*) FROM edge) AS total_edges,
+       (SELECT count(*) FILTER (raw_name IS NULL) + count(*) FILTER (raw_surface IS NULL) FROM major_way)
+       AS data_quality_issues""")
+SQL["edge_costs"] = with_ctes("any_edge", f"""
+SELECT edge_id, round(distance_m, 3) AS shortest,
+       round(distance_m * CASE WHEN highway_type IN ('primary', 'secondary') THEN 0.8 WHEN highway_type = 'track' THEN 1.5
+             ELSE 1 END::DOUBLE, 3) AS safest,
+       round(distance_m * CASE WHEN surface IN {PAVED} THEN 0.7 ELSE 1 END::DOUBLE, 3) AS budget FROM any_edge""")
+SQL["social_edges"] = with_ctes("any_edge settlement", f"""
+SELECT edge_id, near AS near_settlement, round(distance_m * CASE WHEN near THEN 0.6 ELSE 1 END::DOUBLE, 3) AS social
+FROM (SELECT edge_id, any_value(distance_m) AS distance_m,
+             bool_or({haversine('(lat1 + lat2) / 2', '(lon1 + lon2) / 2', 's.lat', 's.lon')} < 1000) AS near
+      FROM any_edge, settlement s GROUP BY edge_id)""")
+SQL["segment_class"] = with_ctes("classified", "SELECT edge_id, construction_type, cost_factor FROM classified")
+SQL["construction_stats"] = with_ctes("classified", """
+SELECT way_id, round(total, 3) AS total_distance_km, round(new, 2) AS new_construction_km,
+       round(upgrade, 2) AS upgrade_existing_km,
+       round(CASE WHEN total > 0 THEN upgrade / total * 100 ELSE 0 END, 1) AS utilization_percent,
+       round(CASE WHEN total > 0 THEN upgrade * 0.6::DOUBLE / total * 100 ELSE 0 END, 1) AS cost_savings_percent,
+       round(cost, 0) AS estimated_cost
+FROM (SELECT way_id, sum(distance_m / 1000) AS total,
+             sum(CASE WHEN construction_type = 'new_construction' THEN distance_m / 1000 ELSE 0 END) AS new,
+             sum(CASE WHEN construction_type = 'new_construction' THEN 0 ELSE distance_m / 1000 END) AS upgrade,
+             sum(distance_m / 1000 * CASE WHEN construction_type = 'new_construction' THEN 1000000 ELSE 400000 END) AS cost
+      FROM classified GROUP BY way_id)""")
+SQL["snap"] = with_ctes("end_all_nodes", """
+SELECT route_id, max(CASE WHEN side = 'start' THEN node_id END) AS start_node,
+       max(CASE WHEN side = 'end' THEN node_id END) AS end_node,
+       round(max(CASE WHEN side = 'start' THEN snap_m END), 3) AS start_snap_m,
+       round(max(CASE WHEN side = 'end' THEN snap_m END), 3) AS end_snap_m FROM end_all_nodes GROUP BY route_id""")
+STATUS = """
+SELECT route_id, start_node, end_node, CASE WHEN start_node IS NULL THEN 'NO_SNAP_POINT_START'
+       WHEN end_node IS NULL THEN 'NO_SNAP_POINT_END' WHEN start_node = end_node THEN 'SAME_NODE'
+       WHEN NOT EXISTS (SELECT 1 FROM reach WHERE origin = start_node AND node = end_node) THEN 'NO_PATH_EXISTS'
+       ELSE 'OK' END AS status FROM ends"""
+SQL["route_status"] = with_distances("ends", STATUS)
+SQL["path_costs"] = with_distances("ends", """
+SELECT route_id, criterion AS variant, round(cost, 3) AS cost
+FROM ends JOIN reach ON origin = start_node AND node = end_node WHERE start_node <> end_node""")
+SQL["straight_samples"] = with_ctes("sample_all_nodes", """
+SELECT route_id, seq, round(coalesce(n_lat, lat), 9) AS lat, round(coalesce(n_lon, lon), 9) AS lon,
+       node_id IS NOT NULL AS on_road, node_id FROM sample_all_nodes""")
+SQL["hybrid_route"] = with_ctes("sample_all_nodes", f"""
+SELECT route_id, variant, name, round(km * f, 6) AS total_distance_km, round(km * f, 2) AS new_construction_km,
+       round(round(km * f * 1000000, 2), 0) AS estimated_cost
+FROM (SELECT route_id, sum(CASE WHEN lat2 IS NULL THEN 0 ELSE {haversine('lat', 'lon', 'lat2', 'lon2')} END ORDER BY seq)
+             / 1000 AS km, bool_or(on_road) AS any_road
+      FROM (SELECT route_id, seq, on_road, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2
+            FROM (SELECT route_id, seq, node_id IS NOT NULL AS on_road, coalesce(n_lat, lat) AS lat,
+                         coalesce(n_lon, lon) AS lon FROM sample_all_nodes)
+            WINDOW w AS (PARTITION BY route_id ORDER BY seq)) GROUP BY route_id),
+     (VALUES ('shortest', 'Hybrid Route (OSM + Direct)', 1.0::DOUBLE), ('safest', 'Safest Hybrid Route', 1.1::DOUBLE))
+     v(variant, name, f)
+WHERE any_road""")

@@ -7,6 +7,7 @@ and every operator here stays inside the row: no shuffle.
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadplan.functions.geometry import elevation_proxy, lerp, round_places
@@ -99,3 +100,26 @@ def keep_when_thinned(index: Column, n: Column) -> Column:
     return (n <= MAX_WAYPOINTS) | (index == 0) | (index == n - 1) | (
         (index % step == 0) & (index / step).between(1, inner - 1)
     )
+
+
+def collapse_repeats(points: DataFrame, *order: str) -> DataFrame:
+    """Drop a point that repeats the one before it; ``order`` sorts the points of a route."""
+    window = W.partitionBy(*KEY).orderBy(*order)
+    same = (F.lag("lat").over(window) == F.col("lat")) & (F.lag("lon").over(window) == F.col("lon"))
+    return points.withColumn("same", F.coalesce(same, F.lit(False))).where(~F.col("same")).drop("same")
+
+
+def thin_points(points: DataFrame, *order: str) -> DataFrame:
+    """At most 25 points per route, both ends included, renumbered by ``seq``."""
+    window = W.partitionBy(*KEY).orderBy(*order)
+    numbered = points.withColumn("at", F.row_number().over(window) - 1).withColumn(
+        "n", F.count("*").over(W.partitionBy(*KEY))
+    )
+    kept = numbered.where(keep_when_thinned(F.col("at"), F.col("n")))
+    return kept.withColumn("seq", F.row_number().over(window) - 1).drop("at", "n")
+
+
+def waypoint_arrays(points: DataFrame) -> DataFrame:
+    """Gather at most 25 points per route back into an array with modelled elevations."""
+    point = F.struct("seq", "lat", "lon", elevation_proxy(F.col("lat"), F.col("lon")).alias("elevation"))
+    return points.groupBy(*KEY).agg(F.array_sort(F.collect_list(point)).alias("waypoints"))

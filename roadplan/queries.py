@@ -13,11 +13,15 @@ from roadplan.functions import risk as R
 from roadplan.functions import text as T
 from roadplan.functions.geometry import elevation_proxy, haversine_m, planar_km, round_places
 from roadplan.operators import crossings as K
+from roadplan.operators import network as N
 from roadplan.operators import places as P
 from roadplan.operators import survey as S
 from roadplan.operators.polyline import KEY, elevations, explode_waypoints
 from roadplan.operators.utilization import road_utilization
+from roadplan.operators.spatial import checkpointed
 from roadplan.plans import curve
+from roadplan.plans import fallback as B
+from roadplan.plans import network_routes as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -174,3 +178,178 @@ def plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["route_plan"] = plan
+
+
+BBOX = (29.0, 78.0, 31.0, 80.5)
+
+
+def vertices(spark: SparkSession, sf: str) -> DataFrame:
+    return N.locate(X.way_refs(spark, sf), X.nodes(spark, sf))
+
+
+def major_ways(spark: SparkSession, sf: str) -> DataFrame:
+    return N.filtered_ways(X.ways(spark, sf), vertices(spark, sf))
+
+
+def all_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of ways of every class."""
+    return N.directed_edges(vertices(spark, sf), N.tagged_ways(X.ways(spark, sf)))
+
+
+def network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the major-road network, stored once because later steps read them many times."""
+    points, ways = vertices(spark, sf), major_ways(spark, sf)
+    kept = points.join(ways.select("way_id"), "way_id", "left_semi")
+    return checkpointed(N.distinct_nodes(kept)), checkpointed(N.edge_costs(N.directed_edges(points, ways)))
+
+
+@query
+def ways_filtered(spark, sf):
+    return N.filtered_ways(X.ways(spark, sf), vertices(spark, sf), bbox=BBOX)
+
+
+@query
+def quality_issues(spark, sf):
+    refs, nodes = X.way_refs(spark, sf), X.nodes(spark, sf)
+    return N.quality_issues(X.ways(spark, sf), major_ways(spark, sf), N.unlocated_ways(refs, nodes))
+
+
+@query
+def first_issues(spark, sf):
+    return N.first_issues(quality_issues(spark, sf))
+
+
+@query
+def network_nodes(spark, sf):
+    kept = vertices(spark, sf).join(major_ways(spark, sf).select("way_id"), "way_id", "left_semi")
+    return N.distinct_nodes(kept)
+
+
+@query
+def edges(spark, sf):
+    rows = N.directed_edges(vertices(spark, sf), major_ways(spark, sf))
+    return rows.withColumn("distance_m", round_places(c("distance_m"), 3)).drop("condition")
+
+
+@query
+def way_length(spark, sf):
+    lengths = N.way_lengths(N.directed_edges(vertices(spark, sf), major_ways(spark, sf)))
+    return lengths.withColumn("distance_m", round_places(c("distance_m"), 3))
+
+
+@query
+def adjacency(spark, sf):
+    return N.adjacency(N.directed_edges(vertices(spark, sf), major_ways(spark, sf)))
+
+
+@query
+def network_stats(spark, sf):
+    ways = major_ways(spark, sf)
+    nodes = N.distinct_nodes(vertices(spark, sf).join(ways.select("way_id"), "way_id", "left_semi"))
+    rows = N.directed_edges(vertices(spark, sf), ways)
+    return N.network_stats(ways, nodes, rows, N.quality_issues(X.ways(spark, sf), ways))
+
+
+@query
+def edge_costs(spark, sf):
+    costs = N.edge_costs(all_edges(spark, sf))
+    return costs.select("edge_id", *[round_places(c(x), 3).alias(x) for x in ("shortest", "safest", "budget")])
+
+
+@query
+def social_edges(spark, sf):
+    near = N.near_settlement(all_edges(spark, sf), X.settlements(spark, sf))
+    return N.edge_costs(near).select("edge_id", "near_settlement", round_places(c("social"), 3).alias("social"))
+
+
+@query
+def segment_class(spark, sf):
+    """Edges of all classes as segments of their way, against a network that lacks every way divisible by seven."""
+    segments = all_edges(spark, sf)
+    known = segments.where(c("way_id") % 7 != 0)
+    rows = N.classified_segments(segments.select("way_id", "edge_id", "distance_m"), known)
+    return rows.select("edge_id", "construction_type", "cost_factor")
+
+
+@query
+def construction_stats(spark, sf):
+    segments = all_edges(spark, sf)
+    known = segments.where(c("way_id") % 7 != 0)
+    rows = N.classified_segments(segments.select("way_id", "edge_id", "distance_m"), known)
+    stats = N.construction_stats(rows, "way_id")
+    return stats.select(
+        "way_id", round_places(c("total_distance_km"), 3).alias("total_distance_km"), "new_construction_km",
+        "upgrade_existing_km", "utilization_percent", "cost_savings_percent",
+        round_places(c("estimated_cost"), 0).alias("estimated_cost"),
+    )
+
+
+@query
+def snap(spark, sf):
+    snapped = G.snapped_ends(spread_requests(spark, sf), G.node_index(X.nodes(spark, sf)))
+    return snapped.select(
+        "route_id", "start_node", "end_node", round_places(c("start_snap_m"), 3).alias("start_snap_m"),
+        round_places(c("end_snap_m"), 3).alias("end_snap_m"),
+    )
+
+
+def found_routes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, G.NetworkRoutes]:
+    nodes, roads = network(spark, sf)
+    return nodes, roads, G.find_routes(spread_requests(spark, sf), nodes, roads)
+
+
+@query
+def route_status(spark, sf):
+    return found_routes(spark, sf)[2].status
+
+
+@query
+def path_costs(spark, sf):
+    costs = found_routes(spark, sf)[2].costs
+    return costs.select(*KEY, round_places(c("cost"), 3).alias("cost"))
+
+
+@query
+def route_from_path(spark, sf):
+    _, roads, found = found_routes(spark, sf)
+    records = G.network_route_records(found, roads)
+    return records.select(
+        *KEY, "name", F.size("waypoints").alias("waypoint_count"),
+        round_places(c("total_distance_km"), 6).alias("total_distance_km"),
+        "new_construction_km", "upgrade_existing_km", "utilization_percent", "cost_savings_percent",
+        round_places(c("estimated_cost"), 0).alias("estimated_cost"),
+    )
+
+
+@query
+def network_plan(spark, sf):
+    _, roads, found = found_routes(spark, sf)
+    river = X.river_vertices(spark, sf)
+    return G.enrich(
+        checkpointed(G.network_route_records(found, roads)), spread_requests(spark, sf), river,
+        K.river_segments(river), X.settlements(spark, sf), X.tourism(spark, sf), X.rainfall(spark, sf),
+    ).withColumn("total_distance_km", round_places(c("total_distance_km"), 6))
+
+
+@query
+def straight_samples(spark, sf):
+    index = G.node_index(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
+    rows = B.snapped_samples(spread_requests(spark, sf), index)
+    return rows.withColumn("lat", round_places(c("lat"), 9)).withColumn("lon", round_places(c("lon"), 9))
+
+
+@query
+def hybrid_route(spark, sf):
+    index = G.node_index(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
+    return B.hybrid_routes(spread_requests(spark, sf), index).select(
+        *KEY, "name", round_places(c("total_distance_km"), 6).alias("total_distance_km"), "new_construction_km",
+        round_places(c("estimated_cost"), 0).alias("estimated_cost"),
+    )
+
+
+@query
+def routing_method(spark, sf):
+    nodes, _, found = found_routes(spark, sf)
+    requests = spread_requests(spark, sf)
+    routes = B.routed(requests, found.status, found.waypoints, G.node_index(nodes, B.SAMPLE_SNAP_M))
+    return routes.select(*KEY, "routing_method", F.size("waypoints").alias("waypoint_count"))
