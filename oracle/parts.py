@@ -384,3 +384,78 @@ def with_distances(reads: str, select: str) -> str:
     head = with_ctes(reads + " origin criterion_cost", "")
     head = head.replace("WITH RECURSIVE ", "WITH ", 1).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
     return f"{head},{DISTANCES}\n{select}"
+
+cte("export", "terrain request utilization", f"""
+SELECT t.route_id, t.variant, t.elevation_gain_m, t.terrain_risk, context,
+       CASE t.variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name,
+       CASE t.variant WHEN 'safest' THEN 'Minimizes terrain and flood risks' ELSE 'Minimizes distance and travel time' END
+       AS description,
+       round({planar('start_lat', 'start_lon', 'end_lat', 'end_lon')} * 111
+             * CASE t.variant WHEN 'safest' THEN 1.25::DOUBLE ELSE 1 END, 2) AS distance_km,
+       round((new_construction_km * 35000 + existing_road_km * 5000) * (1 + terrain_risk / 100), 2) AS estimated_cost
+FROM terrain t JOIN request USING (route_id) JOIN utilization USING (route_id, variant)""")
+
+PLAIN = "regexp_replace({}::VARCHAR, '\\.0$', '')"
+
+
+def plain(value: str) -> str:
+    return PLAIN.format(value)
+
+
+def kml(name: str, description: str, lines: str, style: str, extra: str) -> str:
+    return f"""'<?xml version="1.0" encoding="UTF-8"?>
+<kml xmlns="http://www.opengis.net/kml/2.2">
+  <Document>
+    <name>' || {name} || '</name>
+    <description>' || {description} || '</description>
+    <Style id="{style}">
+      <LineStyle>
+        <color>ff0000ff</color>
+        <width>4</width>
+      </LineStyle>
+    </Style>
+    <Placemark>
+      <name>' || {name} || '</name>
+' || {extra} || '      <styleUrl>#{style}</styleUrl>
+      <LineString>
+        <coordinates>
+' || {lines} || '        </coordinates>
+      </LineString>
+    </Placemark>
+  </Document>
+</kml>'"""
+
+
+def gpx(head: str, name: str, lines: str) -> str:
+    return f"""{head} || '  <trk>
+    <name>' || {name} || '</name>
+    <trkseg>
+' || {lines} || '    </trkseg>
+  </trk>
+</gpx>'"""
+
+
+def kml_line(lon: str, lat: str, height: str) -> str:
+    return f"'          ' || {lon} || ',' || {lat} || ',' || {height} || chr(10)"
+
+
+def gpx_line(lon: str, lat: str, height: str) -> str:
+    return (
+        f"'      <trkpt lat=\"' || {lat} || '\" lon=\"' || {lon} || '\">' || chr(10) || '        <ele>' || {height} "
+        f"|| '</ele>' || chr(10) || '      </trkpt>' || chr(10)"
+    )
+
+
+def joined(line: str, order: str, separator: str = "''") -> str:
+    return f"string_agg({line}, {separator} ORDER BY {order})"
+
+
+def fixed(value: str, places: int) -> str:
+    return f"round({value}, {places})::DECIMAL(30,{places})::VARCHAR"
+
+
+def volume(value: str) -> str:
+    return (
+        f"CASE WHEN {value} > 1000000 THEN {fixed(f'{value} / 1000000', 2)} || 'M m³' "
+        f"WHEN {value} > 1000 THEN {fixed(f'{value} / 1000', 1)} || 'K m³' ELSE {value}::VARCHAR || ' m³' END"
+    )

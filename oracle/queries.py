@@ -1,5 +1,6 @@
 """One SQL text per query name."""
 
+from oracle import parts as O
 from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes, with_distances
 
 SQL: dict[str, str] = {}
@@ -147,3 +148,104 @@ FROM (SELECT route_id, sum(CASE WHEN lat2 IS NULL THEN 0 ELSE {haversine('lat',
      (VALUES ('shortest', 'Hybrid Route (OSM + Direct)', 1.0::DOUBLE), ('safest', 'Safest Hybrid Route', 1.1::DOUBLE))
      v(variant, name, f)
 WHERE any_road""")
+
+SQL["thinned_rivers"] = with_ctes("river_vertex", """
+SELECT river_id, seq, lat, lon FROM (SELECT *, count(*) OVER (PARTITION BY river_id) AS n FROM river_vertex)
+WHERE n <= 25 OR seq = 0 OR seq = n - 1 OR seq IN (SELECT unnest(range(1, 24)) * (n // 24))""")
+
+LINES = O.joined(O.kml_line("round(lon, 6)", "round(lat, 6)", "trunc(design)::INTEGER"), "idx")
+TRACK = O.joined(O.gpx_line("round(lon, 6)", "round(lat, 6)", "trunc(design)::INTEGER"), "idx")
+NAME = "CASE variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END"
+HEAD = """'<?xml version="1.0" encoding="UTF-8"?>
+<gpx version="1.1" creator="roadplan">
+'"""
+SQL["survey_documents"] = with_ctes("survey earthwork", f"""
+SELECT route_id, variant, md5({O.kml(NAME, "'Road alignment for construction - Total Cut: ' || trunc(cut)::BIGINT || ' m³, Total Fill: ' || trunc(fill)::BIGINT || ' m³'", 'lines', 'routeLine', "''")}) AS kml_md5,
+       md5({O.gpx(HEAD, NAME, 'track')}) AS gpx_md5, total_waypoints::INTEGER AS vertices, trunc(cut)::BIGINT AS cut,
+       first_lat
+FROM earthwork JOIN (SELECT route_id, variant, {LINES} AS lines, {TRACK} AS track,
+                            max(CASE WHEN idx = 0 THEN round(lat, 6) END) AS first_lat
+                     FROM survey GROUP BY route_id, variant) USING (route_id, variant)""")
+
+POINT = (O.plain("lon"), O.plain("lat"), "elevation")
+NOTE = f"'Distance: ' || {O.plain('distance_km')} || ' km'"
+META = f"""'<?xml version="1.0" encoding="UTF-8"?>
+<gpx version="1.1" creator="roadplan" xmlns="http://www.topografix.com/GPX/1/1">
+  <metadata>
+    <name>' || name || '</name>
+    <desc>' || {NOTE} || '</desc>
+  </metadata>
+'"""
+SQL["waypoint_documents"] = with_ctes("export wp", f"""
+SELECT route_id, variant,
+       {O.kml('name', 'description', 'lines', 'routeStyle', f"'      <description>' || {NOTE} || '</description>' || chr(10)")} AS kml,
+       {O.gpx(META, 'name', 'track')} AS gpx,
+       '{{"type":"FeatureCollection","features":[{{"type":"Feature","geometry":{{"type":"LineString","coordinates":['
+       || pairs || ']}},"properties":{{"name":"' || name || '","description":"' || description || '","distance_km":'
+       || {O.plain('distance_km')} || ',"elevation_gain_m":' || elevation_gain_m || ',"estimated_cost":'
+       || {O.plain('estimated_cost')} || ',"risk_score":' || terrain_risk || '}}}}]}}' AS geojson,
+       replace(name, ' ', '_') || '_route.kml' AS kml_file, replace(name, ' ', '_') || '_route.gpx' AS gpx_file,
+       replace(name, ' ', '_') || '_route.geojson' AS geojson_file
+FROM export JOIN (SELECT route_id, variant, {O.joined(O.kml_line(*POINT), 'seq')} AS lines,
+                         {O.joined(O.gpx_line(*POINT), 'seq')} AS track,
+                         {O.joined(f"'[' || {POINT[0]} || ',' || {POINT[1]} || ',' || elevation || ']'", 'seq', "','")} AS pairs
+                  FROM wp GROUP BY route_id, variant) USING (route_id, variant)""")
+
+FEATURES = """
+SELECT edge_id, to_json({'type': 'Feature',
+       'geometry': {'type': 'LineString', 'coordinates': [[lon1, lat1], [lon2, lat2]]},
+       'properties': {'id': edge_id, 'name': name, 'highway_type': highway_type, 'surface': surface,
+                      'distance_m': round(distance_m, 3)}})::VARCHAR AS feature
+FROM edge ORDER BY way_id, pos LIMIT 500"""
+SQL["road_features"] = with_ctes("edge", FEATURES)
+SQL["road_collection"] = with_ctes("edge", f"""
+SELECT '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY edge_id) || ']}}' AS document
+FROM ({FEATURES})""")
+SQL["layer_config"] = with_ctes("terrain", f"""
+SELECT route_id, variant, {NAME} AS name, CASE variant WHEN 'safest' THEN '#10b981' ELSE '#3b82f6' END AS color FROM terrain""")
+SQL["explanations"] = with_ctes("export", """
+SELECT route_id, variant, 'You are an AI assistant for rural infrastructure planning in Uttarakhand, India.
+
+Analyze this route and provide a brief explanation:
+
+Route: ' || name || '
+Distance: ' || distance_km || ' km
+Elevation Gain: ' || elevation_gain_m || ' m
+Risk Score: ' || terrain_risk || '/100
+Terrain Risk: 50/100
+Flood Risk: 50/100
+
+Context: ' || context || '
+
+Provide a 2-3 sentence explanation of why this route was recommended, considering terrain, safety, and construction feasibility.' AS prompt,
+       'This route offers a balance between ' || lower(name)
+       || ' characteristics and practical construction considerations for the Uttarkashi region.' AS fallback
+FROM export""")
+SQL["display_text"] = with_ctes("export earthwork", f"""
+SELECT route_id, variant, CASE WHEN terrain_risk > 60 THEN 'high' WHEN terrain_risk > 40 THEN 'medium' ELSE 'low' END AS band,
+       CASE WHEN terrain_risk > 60 THEN terrain_risk - 60 ELSE 50 END AS shown_risk,
+       {O.fixed('estimated_cost / 100000', 1)} || 'Cr' AS cost, {O.volume('trunc(e.cut)::BIGINT')} AS cut,
+       {O.volume('trunc(e.fill)::BIGINT')} AS fill, CASE balance_status WHEN 'balanced' THEN 'Balanced'
+       WHEN 'excess_cut' THEN 'Excess Cut' ELSE 'Excess Fill' END AS status
+FROM export JOIN earthwork e USING (route_id, variant)""")
+SQL["bridge_estimates"] = with_ctes("length", f"SELECT route_id, variant, {O.bridges('km')}::INTEGER AS bridges FROM length")
+SQL["request_intake"] = with_ctes("request", """
+SELECT route_id, CASE WHEN route_id % 7 = 0 OR route_id % 11 = 0 THEN 30.7268::DOUBLE ELSE start_lat END AS start_lat,
+       CASE WHEN route_id % 7 = 0 THEN 78.4354::DOUBLE ELSE start_lon END AS start_lon,
+       30.9993::DOUBLE AS end_lat, 78.9394::DOUBLE AS end_lon, context,
+       CASE WHEN route_id % 7 <> 0 AND route_id % 11 = 0 THEN 'not a number: start_lat' END AS reason FROM request""")
+SQL["region_guard"] = with_ctes("request", """
+SELECT route_id, start_lat + 0.5::DOUBLE BETWEEN 28.5::DOUBLE AND 31.6::DOUBLE
+       AND start_lon BETWEEN 77.4::DOUBLE AND 81.1::DOUBLE AND end_lat - 0.5::DOUBLE BETWEEN 28.5::DOUBLE AND 31.6::DOUBLE
+       AND end_lon BETWEEN 77.4::DOUBLE AND 81.1::DOUBLE AS inside FROM request""")
+SQL["rainfall_lines"] = """
+SELECT CASE r_name WHEN 'MIDDLE EAST' THEN r_name ELSE r_name[1] || lower(r_name[2:]) END AS district,
+       (900 + 300 * r_regionkey)::DOUBLE AS annual_mm FROM region WHERE r_regionkey % 2 = 1"""
+SQL["response_sizes"] = with_ctes("wp crossing near_settlement near_tourism", """
+SELECT w.route_id, w.variant, 'route-1' AS recommended, least(10, w.n)::INTEGER AS waypoints,
+       least(5, c.n)::INTEGER AS river_crossings, least(10, coalesce(s.n, 0))::INTEGER AS nearby_settlements,
+       least(3, coalesce(t.n, 0))::INTEGER AS tourism_spots, 10 AS detailed_waypoints
+FROM (SELECT route_id, variant, count(*) AS n FROM wp GROUP BY ALL) w
+LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM crossing GROUP BY ALL) c USING (route_id, variant)
+LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM near_settlement GROUP BY ALL) s USING (route_id, variant)
+LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM near_tourism GROUP BY ALL) t USING (route_id, variant)""")

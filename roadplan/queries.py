@@ -16,12 +16,15 @@ from roadplan.operators import crossings as K
 from roadplan.operators import network as N
 from roadplan.operators import places as P
 from roadplan.operators import survey as S
-from roadplan.operators.polyline import KEY, elevations, explode_waypoints
+from roadplan.operators.polyline import KEY, elevations, explode_waypoints, keep_when_thinned
 from roadplan.operators.utilization import road_utilization
 from roadplan.operators.spatial import checkpointed
+from roadplan.operators.simplify import simplify_lines
 from roadplan.plans import curve
 from roadplan.plans import fallback as B
 from roadplan.plans import network_routes as G
+from roadplan.sinks import documents as D
+from roadplan.sources import files, requests as intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -353,3 +356,159 @@ def routing_method(spark, sf):
     requests = spread_requests(spark, sf)
     routes = B.routed(requests, found.status, found.waypoints, G.node_index(nodes, B.SAMPLE_SNAP_M))
     return routes.select(*KEY, "routing_method", F.size("waypoints").alias("waypoint_count"))
+
+
+@query
+def thinned_rivers(spark, sf):
+    """River lines thinned to 25 vertices. The vertex number is known, so only the counts are aggregated."""
+    rows = X.river_vertices(spark, sf)
+    counts = rows.groupBy("river_id").agg(F.count("*").alias("n"))
+    kept = rows.join(counts, "river_id").where(keep_when_thinned(c("seq"), c("n")))
+    return kept.select("river_id", "seq", "lat", "lon")
+
+
+@query
+def simplified_rivers(spark, sf):
+    rows = X.river_vertices(spark, sf).withColumnRenamed("river_id", "line_id")
+    return simplify_lines(rows, 0.02).select("line_id", "seq")
+
+
+def scored_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves with the figures an export prints, short of the joins a full plan needs."""
+    metrics = curve.route_metrics(spread_requests(spark, sf))
+    km = c("straight_km") * curve.constant(4)
+    return metrics.select(
+        *KEY, "waypoints", curve.constant(1).alias("name"), curve.constant(2).alias("description"),
+        round_places(km, 2).alias("distance_km"), "elevation_gain_m",
+        C.construction_cost(
+            c("road_utilization.new_construction_km"), c("road_utilization.existing_road_km"),
+            c("terrain_risk"), F.lit(0),
+        ).alias("estimated_cost"),
+        c("terrain_risk").alias("risk_score"), "context",
+    )
+
+
+@query
+def survey_documents(spark, sf):
+    """Digest of each surveyed line's KML and GPX, and what its GeoJSON holds."""
+    r = routes(spark, sf)
+    documents = D.survey_documents(S.station_table(S.survey_points(r)), S.earthwork(r), curve.constant(1))
+    return documents.select(
+        *KEY, F.md5("kml").alias("kml_md5"), F.md5("gpx").alias("gpx_md5"),
+        F.json_array_length(F.get_json_object("geojson", "$.features[0].geometry.coordinates")).alias("vertices"),
+        F.get_json_object("geojson", "$.features[0].properties.total_cut_volume_m3").cast("bigint").alias("cut"),
+        F.get_json_object("geojson", "$.features[0].properties.waypoints[0].lat").cast("double").alias("first_lat"),
+    )
+
+
+@query
+def waypoint_documents(spark, sf):
+    return D.waypoint_documents(scored_curves(spark, sf))
+
+
+@query
+def road_features(spark, sf):
+    rows = N.directed_edges(vertices(spark, sf), major_ways(spark, sf))
+    return D.road_features(rows.withColumn("distance_m", round_places(c("distance_m"), 3)), 500)
+
+
+@query
+def road_collection(spark, sf):
+    return D.road_collection(road_features(spark, sf))
+
+
+@query
+def layer_config(spark, sf):
+    return D.layer_config(scored_curves(spark, sf).select(*KEY, "name"))
+
+
+@query
+def explanations(spark, sf):
+    rows = scored_curves(spark, sf)
+    return rows.select(
+        *KEY, T.explanation_prompt(
+            c("name"), c("distance_km"), c("elevation_gain_m"), c("risk_score"), F.lit(None).cast("int"),
+            F.lit(None).cast("int"), c("context"),
+        ).alias("prompt"), T.fallback_explanation(c("name")).alias("fallback"),
+    )
+
+
+@query
+def display_text(spark, sf):
+    """Bands and texts of the route cards, over the earthwork and scores of every route."""
+    totals = S.earthwork(routes(spark, sf)).select(*KEY, "total_cut_m3", "total_fill_m3", "balance_status")
+    rows = scored_curves(spark, sf).join(totals, KEY)
+    low = F.greatest(c("risk_score") - 60, F.lit(0))
+    return rows.select(
+        *KEY, R.risk_band(c("risk_score")).alias("band"),
+        R.displayed_risk(low, F.lit(None).cast("int")).alias("shown_risk"),
+        T.cost_text(c("estimated_cost")).alias("cost"), T.volume_text(c("total_cut_m3")).alias("cut"),
+        T.volume_text(c("total_fill_m3")).alias("fill"), S.E.status_title(c("balance_status")).alias("status"),
+    )
+
+
+@query
+def bridge_estimates(spark, sf):
+    return routes(spark, sf).select(*KEY, K.estimate_count(c("waypoints")).alias("bridges"))
+
+
+@query
+def request_intake(spark, sf):
+    """Customers as JSON events: every third wrapped in a body text, some fields missing or unusable."""
+    key = c("route_id")
+    lat = F.when(key % 11 == 0, F.lit('"north"')).otherwise(c("start_lat").cast("string"))
+    start = F.when(key % 7 == 0, F.lit("{}")).otherwise(
+        F.concat(F.lit('{"lat":'), lat, F.lit(',"lon":"'), c("start_lon").cast("string"), F.lit('"}'))
+    )
+    body = F.concat(F.lit('{"start":'), start, F.lit(',"context":"'), c("context"), F.lit('"}'))
+    wrapped = F.to_json(F.struct(body.alias("body")))
+    events = X.requests(spark, sf).select("route_id", F.when(key % 3 == 0, wrapped).otherwise(body).alias("event"))
+    return intake.parse_requests(events).drop("event")
+
+
+@query
+def region_guard(spark, sf):
+    moved = X.requests(spark, sf).select(
+        "route_id", (c("start_lat") + 0.5).alias("start_lat"), c("start_lon"), (c("end_lat") - 0.5).alias("end_lat"),
+        "end_lon",
+    )
+    return intake.guard_requests(moved).select("route_id", "inside")
+
+
+@query
+def rainfall_lines(spark, sf):
+    region = X.table(spark, sf, "region")
+    lines = region.select(
+        F.concat(F.lit("IN,"), c("r_name"), F.lit(","), F.when(c("r_regionkey") % 2 == 0, F.lit("n/a")).otherwise(
+            (900 + 300 * c("r_regionkey")).cast("string"))).alias("value"),
+        c("r_regionkey").alias("line_no"),
+    )
+    return files.rainfall_lines(lines, ["Africa", "America", "Asia", "Europe", "MIDDLE EAST"])
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    r, river = routes(spark, sf), X.river_vertices(spark, sf)
+    segments = K.river_segments(river)
+    return D.response_documents(
+        checkpointed(plan(spark, sf)), r, K.river_crossings(r, segments),
+        P.settlements_near(r, X.settlements(spark, sf)), P.tourism_near(r, X.tourism(spark, sf)),
+        S.head_stations(r), X.requests(spark, sf),
+    )
+
+
+QUERIES["response_documents"] = documents
+
+
+@query
+def response_sizes(spark, sf):
+    """List lengths of both routes in every response document."""
+    size = lambda i, name: F.coalesce(F.json_array_length(
+        F.get_json_object("document", f"$.routes[{i}].{name}")), F.lit(-1)).alias(name.split(".")[-1])
+    lists = ("waypoints", "river_crossings", "nearby_settlements", "tourism_spots", "construction_data.detailed_waypoints")
+    both = F.inline(F.array(*[
+        F.struct(F.lit(v).alias("variant"), *[size(i, name) for name in lists])
+        for i, v in enumerate(("shortest", "safest"))
+    ]))
+    return documents(spark, sf).select(
+        "route_id", F.get_json_object("document", "$.recommended_route_id").alias("recommended"), both
+    )
