@@ -52,31 +52,34 @@ MAJOR = (
     "('motorway', 'trunk', 'primary', 'secondary', 'motorway_link', 'trunk_link', 'primary_link', 'secondary_link')"
 )
 
-# name -> (names it reads, text)
-CTES: dict[str, tuple[list[str], str]] = {}
+# name -> (names it reads, text, heading)
+CTES: dict[str, tuple[list[str], str, str]] = {}
 
 
-def cte(name: str, reads: str, text: str) -> None:
-    CTES[name] = (reads.split(), text)
+def cte(name: str, reads: str, text: str, heading: str | None = None) -> None:
+    CTES[name] = (reads.split(), text, heading or name)
 
 
-def with_ctes(reads: str, select: str) -> str:
-    """``select`` preceded by the named expressions and all they read, in order."""
+def with_ctes(reads: str, select: str, **instead: tuple[list[str], str, str]) -> str:
+    """``select`` preceded by the named expressions and all they read, in order.
+
+    ``instead`` replaces expressions by name.
+    """
+    known = CTES | instead
     order: list[str] = []
 
     def visit(name: str) -> None:
         if name in order:
             return
-        for needed in CTES[name][0]:
+        for needed in known[name][0]:
             visit(needed)
         order.append(name)
 
     for name in reads.split():
         visit(name)
-    if not order:
-        return select
-    recursive = "RECURSIVE " if any("UNION" in CTES[n][1] for n in order) else ""
-    body = ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order)
+    recursive = "RECURSIVE " if any(known[n][2] != n for n in order) else ""
+    head = lambda name: known[name][2] if known[name][2].endswith("MATERIALIZED") else f"{known[name][2]} AS"
+    body = ",\n".join(f"{head(n)} ({known[n][1]})" for n in order)
     return f"WITH {recursive}{body}\n{select}"
 
 
@@ -368,22 +371,50 @@ SELECT DISTINCT c AS criterion, start_node AS origin FROM ends, (VALUES ('shorte
 WHERE start_node IS NOT NULL AND end_node IS NOT NULL AND start_node <> end_node""")
 
 
-DISTANCES = """
-reach(criterion, origin, node, cost) USING KEY (criterion, origin, node) AS (
+cte("reach", "origin criterion_cost", """
   SELECT criterion, origin, origin AS node, 0::DOUBLE AS cost FROM origin
   UNION
   SELECT reach.criterion, reach.origin, e.target, min(reach.cost + e.w)
   FROM reach JOIN criterion_cost e ON e.source = reach.node AND e.criterion = reach.criterion
   LEFT JOIN recurring.reach k ON k.criterion = reach.criterion AND k.origin = reach.origin AND k.node = e.target
   WHERE k.cost IS NULL OR reach.cost + e.w < k.cost
-  GROUP BY ALL)"""
-
-
-def with_distances(reads: str, select: str) -> str:
-    """``select`` with the table ``reach`` of least costs from every start node."""
-    head = with_ctes(reads + " origin criterion_cost", "")
-    head = head.replace("WITH RECURSIVE ", "WITH ", 1).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
-    return f"{head},{DISTANCES}\n{select}"
+  GROUP BY ALL""", "reach(criterion, origin, node, cost) USING KEY (criterion, origin, node)")
+
+cte("tree", "reach criterion_cost", """
+SELECT e.criterion, s.origin, e.target, min({'edge_id': e.edge_id, 'source': e.source}) AS came
+FROM criterion_cost e JOIN reach s ON s.criterion = e.criterion AND s.node = e.source
+JOIN reach t ON t.criterion = e.criterion AND t.origin = s.origin AND t.node = e.target
+WHERE s.cost + e.w = t.cost AND e.source <> e.target GROUP BY e.criterion, s.origin, e.target""", "tree AS MATERIALIZED")
+
+cte("back", "ends tree", """
+  SELECT DISTINCT criterion, origin, target AS goal, came.source AS node, 0 AS hop, came.edge_id AS edge_id
+  FROM ends JOIN tree ON origin = start_node AND target = end_node
+  UNION ALL
+  SELECT b.criterion, b.origin, b.goal, t.came.source, b.hop - 1, t.came.edge_id
+  FROM back b JOIN tree t ON t.criterion = b.criterion AND t.origin = b.origin AND t.target = b.node
+  WHERE b.node <> b.origin AND b.hop > -1000""", "back(criterion, origin, goal, node, hop, edge_id)")
+
+cte("path", "ends back edge", """
+SELECT route_id, criterion AS variant, hop, e.* FROM ends JOIN back ON origin = start_node AND goal = end_node
+JOIN edge e USING (edge_id)""")
+
+cte("path_stats", "path", """
+SELECT route_id, variant, sum(distance_m ORDER BY hop) / 1000 AS total_distance_km,
+       round(sum(distance_m / 1000 * 400000 ORDER BY hop), 2) AS estimated_cost
+FROM path GROUP BY route_id, variant""")
+
+# Waypoints of network routes, to stand in for those of the curves.
+NETWORK_WP = (["path"], f"""
+SELECT route_id, variant, (row_number() OVER (PARTITION BY route_id, variant ORDER BY nth) - 1)::INTEGER AS seq, lat, lon,
+       {elevation('lat', 'lon')} AS elevation
+FROM (SELECT *, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY route_id, variant) AS n
+      FROM (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0
+            FROM (SELECT route_id, variant, hop * 2 AS k, lat1 AS lat, lon1 AS lon FROM path
+                  UNION ALL SELECT route_id, variant, hop * 2 + 1, lat2, lon2 FROM path)
+            WINDOW w AS (PARTITION BY route_id, variant ORDER BY k))
+      WHERE lat0 IS NULL OR lat0 <> lat OR lon0 <> lon
+      WINDOW w AS (PARTITION BY route_id, variant ORDER BY k))
+WHERE n <= 25 OR nth = 0 OR nth = n - 1 OR (nth % (n // 24) = 0 AND nth // (n // 24) BETWEEN 1 AND 23)""", "wp")
 
 cte("export", "terrain request utilization", f"""
 SELECT t.route_id, t.variant, t.elevation_gain_m, t.terrain_risk, context,

@@ -1,7 +1,7 @@
 """One SQL text per query name."""
 
 from oracle import parts as O
-from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes, with_distances
+from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes
 
 SQL: dict[str, str] = {}
 
@@ -129,8 +129,8 @@ SELECT route_id, start_node, end_node, CASE WHEN start_node IS NULL THEN 'NO_SNA
        WHEN end_node IS NULL THEN 'NO_SNAP_POINT_END' WHEN start_node = end_node THEN 'SAME_NODE'
        WHEN NOT EXISTS (SELECT 1 FROM reach WHERE origin = start_node AND node = end_node) THEN 'NO_PATH_EXISTS'
        ELSE 'OK' END AS status FROM ends"""
-SQL["route_status"] = with_distances("ends", STATUS)
-SQL["path_costs"] = with_distances("ends", """
+SQL["route_status"] = with_ctes("ends reach", STATUS)
+SQL["path_costs"] = with_ctes("ends reach", """
 SELECT route_id, criterion AS variant, round(cost, 3) AS cost
 FROM ends JOIN reach ON origin = start_node AND node = end_node WHERE start_node <> end_node""")
 SQL["straight_samples"] = with_ctes("sample_all_nodes", """
@@ -249,3 +249,49 @@ FROM (SELECT route_id, variant, count(*) AS n FROM wp GROUP BY ALL) w
 LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM crossing GROUP BY ALL) c USING (route_id, variant)
 LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM near_settlement GROUP BY ALL) s USING (route_id, variant)
 LEFT JOIN (SELECT route_id, variant, count(*) AS n FROM near_tourism GROUP BY ALL) t USING (route_id, variant)""")
+
+SQL["route_from_path"] = with_ctes("path_stats wp", """
+SELECT route_id, variant, CASE variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name,
+       (SELECT count(*) FROM wp w WHERE w.route_id = p.route_id AND w.variant = p.variant)::INTEGER AS waypoint_count,
+       round(total_distance_km, 6) AS total_distance_km, 0::DOUBLE AS new_construction_km,
+       round(total_distance_km, 2) AS upgrade_existing_km, 100::DOUBLE AS utilization_percent,
+       60::DOUBLE AS cost_savings_percent, round(estimated_cost, 0) AS estimated_cost FROM path_stats p""", wp=O.NETWORK_WP)
+SQL["network_plan"] = with_ctes("path_stats wp terrain_raw site bridge_count social utilization earthwork", """
+SELECT *, trunc((terrain_risk + flood_risk + rainfall_risk) / 3)::INTEGER AS risk_score
+FROM (SELECT p.route_id, p.variant, CASE p.variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name,
+             round(p.total_distance_km, 6) AS total_distance_km, 0::DOUBLE AS new_construction_km,
+             round(p.total_distance_km, 2) AS upgrade_existing_km, 100::DOUBLE AS utilization_percent,
+             60::DOUBLE AS cost_savings_percent, p.estimated_cost, w.n::INTEGER AS waypoint_count, t.elevation_gain_m,
+             trunc(p.total_distance_km * 2)::BIGINT AS estimated_days,
+             CASE p.variant WHEN 'safest' THEN greatest(20, t.terrain - 15) ELSE t.terrain END AS terrain_risk,
+             CASE p.variant WHEN 'safest' THEN greatest(15, flood_base_risk - 15) ELSE flood_base_risk END AS flood_risk,
+             rainfall_risk, bridges_required, settlements, social_impact_score,
+             u.utilization_percent AS corridor_percent, total_waypoints, trunc(cut)::BIGINT AS total_cut_m3,
+             trunc(fill)::BIGINT AS total_fill_m3, balance_status
+      FROM path_stats p JOIN terrain_raw t USING (route_id, variant) JOIN site USING (route_id)
+      JOIN (SELECT route_id, variant, count(*) AS n FROM wp GROUP BY ALL) w USING (route_id, variant)
+      LEFT JOIN bridge_count USING (route_id, variant) JOIN social USING (route_id, variant)
+      JOIN utilization u USING (route_id, variant) JOIN earthwork USING (route_id, variant))""", wp=O.NETWORK_WP)
+SQL["routing_method"] = with_ctes("ends reach sample_network", f"""
+SELECT route_id, variant, CASE WHEN status = 'OK' THEN 'osm_network'
+       WHEN starts_with(status, 'NO_SNAP') AND on_road THEN 'hybrid' ELSE 'mathematical' END AS routing_method
+FROM ({STATUS}) JOIN (SELECT route_id, bool_or(node_id IS NOT NULL) AS on_road FROM sample_network GROUP BY route_id)
+     USING (route_id), (VALUES ('shortest'), ('safest')) v(variant)""")
+SQL["simplified_rivers"] = with_ctes("river_vertex", f"""
+SELECT * FROM (WITH RECURSIVE span(line_id, lo, hi) AS (
+  SELECT river_id, min(seq), max(seq) FROM river_vertex GROUP BY river_id
+  UNION ALL
+  SELECT line_id, unnest([lo, -far.back]), unnest([-far.back, hi])
+  FROM (SELECT s.line_id, s.lo, s.hi, max({{'d': d, 'back': -p_seq}}) AS far
+        FROM (SELECT s.line_id, s.lo, s.hi, p.seq AS p_seq,
+                     sqrt((b.lon - a.lon) * (b.lon - a.lon) + (b.lat - a.lat) * (b.lat - a.lat)) AS len2,
+                     ((p.lon - a.lon) * (b.lon - a.lon) + (p.lat - a.lat) * (b.lat - a.lat)) / (len2 * len2) AS u,
+                     CASE WHEN len2 = 0 OR u < 0 THEN {planar('a.lat', 'a.lon', 'p.lat', 'p.lon')}
+                          WHEN u > 1 THEN {planar('b.lat', 'b.lon', 'p.lat', 'p.lon')}
+                          ELSE {planar('(a.lat + u * (b.lat - a.lat))', '(a.lon + u * (b.lon - a.lon))', 'p.lat', 'p.lon')}
+                     END AS d
+              FROM span s JOIN river_vertex p ON p.river_id = s.line_id AND p.seq > s.lo AND p.seq < s.hi
+              JOIN river_vertex a ON a.river_id = s.line_id AND a.seq = s.lo
+              JOIN river_vertex b ON b.river_id = s.line_id AND b.seq = s.hi) s
+        GROUP BY s.line_id, s.lo, s.hi) WHERE far.d > 0.02::DOUBLE)
+SELECT DISTINCT line_id, unnest([lo, hi]) AS seq FROM span)""")

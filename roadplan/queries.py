@@ -355,7 +355,7 @@ def routing_method(spark, sf):
     nodes, _, found = found_routes(spark, sf)
     requests = spread_requests(spark, sf)
     routes = B.routed(requests, found.status, found.waypoints, G.node_index(nodes, B.SAMPLE_SNAP_M))
-    return routes.select(*KEY, "routing_method", F.size("waypoints").alias("waypoint_count"))
+    return routes.select(*KEY, "routing_method")
 
 
 @query
