@@ -8,6 +8,7 @@ crowded place nor a popular one ends up in a single task.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from roadplan.functions.geometry import (
     EARTH_RADIUS_M, KM_PER_DEGREE, M_PER_DEGREE, haversine_m, intersection,
 )
+from roadplan.session import set_checkpoint_dir
 
 HOT_ROWS = 2_000_000
 LEAF_TARGETS = 256
@@ -252,6 +254,12 @@ def cover_line(lines: DataFrame, size: float) -> DataFrame:
     )
 
 
+def overlapping(left: str, right: str, axis: str) -> Column:
+    """Whether two segments share part of their range on one axis, with a little slack."""
+    a1, a2, b1, b2 = (F.col(f"{side}{axis}{i}") for side in (left, right) for i in (1, 2))
+    return (F.least(a1, a2) <= F.greatest(b1, b2) + PAD) & (F.least(b1, b2) <= F.greatest(a1, a2) + PAD)
+
+
 def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Segments of two line sets that meet, with the meeting point.
 
@@ -265,21 +273,26 @@ def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.1, ho
     for c in LINE:
         right_cells = right_cells.withColumnRenamed(c, f"r_{c}")
     a, b = left_cells.alias("a"), right_cells.alias("b")
+    overlap = overlapping("a.", "b.r_", "lat") & overlapping("a.", "b.r_", "lon")
     meet = intersection(
         *[F.col(f"a.{c}") for c in LINE], *[F.col(f"b.r_{c}") for c in LINE],
     )
     on = (F.col("a.iy") == F.col("b.iy")) & (F.col("a.ix") == F.col("b.ix")) & (F.col("a.salt") == F.col("b.salt"))
     names = [c for c in rivers.columns if c not in LINE]
-    return a.join(b, on & meet.isNotNull()).select(
+    return a.join(b, on & overlap & meet.isNotNull()).select(
         *[F.col(f"a.{c}") for c in segments.columns], *[F.col(f"b.{c}") for c in names],
         *[F.col(f"b.r_{c}") for c in LINE], meet.alias("at"),
     )
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names."""
+    """Cut lineage: write the rows to the shared checkpoint folder and go on from there.
+
+    A written table also drops what the planner has inferred about the rows so far, which would otherwise
+    grow with every round of a loop, and gives the next round true sizes to plan with.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from roadplan.session import set_checkpoint_dir
-        set_checkpoint_dir(spark)
-    return df.checkpoint()
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
