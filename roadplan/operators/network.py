@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from roadplan.functions import cost as C
 from roadplan.functions.geometry import haversine_m, round_places
-from roadplan.operators.spatial import HAVERSINE_M, NearestIndex, attach_nearest, nearest_index
+from roadplan.operators.spatial import HAVERSINE_M, Targets, attach_nearest
 
 SOCIAL_RADIUS_M = 1000.0
 LOGGED_ISSUES = 10
@@ -150,11 +150,11 @@ def network_stats(ways: DataFrame, nodes: DataFrame, edges: DataFrame, issues: D
     return counted.agg(*[F.count(F.when(F.col("what") == n, 1)).alias(n) for n in names])
 
 
-def settlement_index(settlements: DataFrame) -> NearestIndex:
+def settlement_targets(settlements: DataFrame) -> Targets:
     targets = settlements.select(
         F.col("feature_seq").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")
     )
-    return nearest_index(targets, HAVERSINE_M, SOCIAL_RADIUS_M)
+    return Targets(targets, HAVERSINE_M, SOCIAL_RADIUS_M)
 
 
 def near_settlement(edges: DataFrame, settlements: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def near_settlement(edges: DataFrame, settlements: DataFrame) -> DataFrame:
         "lon", (F.col("lon1") + F.col("lon2")) / 2
     )
     near = F.coalesce(F.col("distance") < SOCIAL_RADIUS_M, F.lit(False))
-    return attach_nearest(middle, settlement_index(settlements)).select(
+    return attach_nearest(middle, settlement_targets(settlements)).select(
         *edges.columns, near.alias("near_settlement")
     )
 

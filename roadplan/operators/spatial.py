@@ -124,11 +124,18 @@ def pairs_within(
 
 
 @dataclass(frozen=True)
-class NearestIndex:
-    """Targets by grid cell, with crowded cells quartered (``dense`` lists them per level)."""
+class Targets:
+    """What to look for: rows ``target_id, t_lat, t_lon``, the metric and the reach."""
 
+    rows: DataFrame
     metric: Metric
     radius: float
+
+
+@dataclass(frozen=True)
+class NearestIndex:
+    """Targets by grid cell, with the crowded cells quartered (``dense`` lists them per level)."""
+
     size: float
     leaves: DataFrame
     dense: list[DataFrame]
@@ -152,33 +159,41 @@ def box_bounds(metric: Metric, size: float) -> tuple[Column, Column]:
     )
 
 
-def nearest_index(targets: DataFrame, metric: Metric, radius: float, leaf: int = LEAF_TARGETS) -> NearestIndex:
-    """Prepare ``targets`` (``target_id, t_lat, t_lon``) for ``nearest_within``.
+def nearest_index(places: DataFrame, targets: Targets, leaf: int = LEAF_TARGETS) -> NearestIndex:
+    """Prepare ``targets`` for lookups from ``places`` (distinct ``lat, lon``).
 
-    Targets at the same place collapse to the smallest id. A cell reached by more than ``leaf`` targets
-    is divided into 16, and each part keeps only the targets that can be the nearest for some point
-    in it: those whose least distance does not exceed the smallest greatest distance. One small
-    job per level decides whether another level is needed.
+    Targets at the same place collapse to the smallest id. A cell with more than ``leaf`` places that is also reached by
+    more than ``leaf`` targets is divided into 16, and each part keeps only the targets that can be the
+    nearest for some point in it: those whose least distance does not exceed the smallest greatest
+    distance. So the comparisons in all cells together stay within ``leaf`` times the rows of both sides. One
+    small job per level decides whether another level is needed.
     """
+    metric, radius = targets.metric, targets.radius
     size = radius / metric.per_degree * 1.001
-    places = targets.groupBy("t_lat", "t_lon").agg(F.min("target_id").alias("target_id"))
-    rows = cover_disc(places, metric, radius, size)
+    spots = targets.rows.groupBy("t_lat", "t_lon").agg(F.min("target_id").alias("target_id"))
+    rows = cover_disc(spots, metric, radius, size)
     leaves, dense = None, []
     for level in range(MAX_LEVELS):
-        full = rows.groupBy("iy", "ix").count().where(F.col("count") > leaf).select("iy", "ix")
-        last = level == MAX_LEVELS - 1 or full.isEmpty()
-        settled = rows if last else rows.join(full, ["iy", "ix"], "left_anti")
+        part = size / FANOUT ** level
+        many = rows.groupBy("iy", "ix").count().where(F.col("count") > leaf).select("iy", "ix")
+        last = level == MAX_LEVELS - 1 or many.isEmpty()
+        if not last:
+            busy = (
+                places.select(cell_of(F.col("lat"), part).alias("iy"), cell_of(F.col("lon"), part).alias("ix"))
+                .groupBy("iy", "ix").count().where(F.col("count") > leaf).select("iy", "ix")
+            )
+            many = checkpointed(many.join(busy, ["iy", "ix"], "left_semi"))
+            last = many.isEmpty()
+        settled = rows if last else rows.join(many, ["iy", "ix"], "left_anti")
         settled = settled.withColumn("level", F.lit(level))
         leaves = settled if leaves is None else leaves.unionByName(settled)
         if last:
             break
-        full = checkpointed(full)
-        dense.append(full)
-        part = size / FANOUT ** (level + 1)
-        least, greatest = box_bounds(metric, part)
+        dense.append(many)
+        least, greatest = box_bounds(metric, part / FANOUT)
         offsets = F.sequence(F.lit(0), F.lit(FANOUT - 1))
         split = (
-            rows.join(full, ["iy", "ix"], "left_semi")
+            rows.join(many, ["iy", "ix"], "left_semi")
             .withColumn("iy", F.explode(F.transform(offsets, lambda i: F.col("iy") * FANOUT + i)))
             .withColumn("ix", F.explode(F.transform(offsets, lambda i: F.col("ix") * FANOUT + i)))
             .withColumn("least", least * (1 - 1e-9) - 1e-9)
@@ -189,16 +204,19 @@ def nearest_index(targets: DataFrame, metric: Metric, radius: float, leaf: int =
         rows = checkpointed(
             split.join(best, ["iy", "ix"]).where(F.col("least") <= F.col("best")).drop("least", "greatest", "best")
         )
-    return NearestIndex(metric, radius, size, leaves, dense)
+    return NearestIndex(size, leaves, dense)
 
 
-def nearest_within(points: DataFrame, index: NearestIndex, hot_rows: int = HOT_ROWS) -> DataFrame:
+def nearest_within(
+    points: DataFrame, targets: Targets, hot_rows: int = HOT_ROWS, leaf: int = LEAF_TARGETS
+) -> DataFrame:
     """Nearest target per distinct ``(lat, lon)`` of ``points``, at most ``radius`` away.
 
     Returns ``lat, lon, target_id, t_lat, t_lon, distance`` for the places that have one; the smallest id
     wins a tie. Requests from the same place are looked up once.
     """
-    metric, places = index.metric, points.select("lat", "lon").distinct()
+    places = points.select("lat", "lon").distinct()
+    index = nearest_index(places, targets, leaf)
     keyed = places.withColumn("level", F.lit(0))
     for level, full in enumerate(index.dense):
         size = index.size / FANOUT ** level
@@ -211,20 +229,20 @@ def nearest_within(points: DataFrame, index: NearestIndex, hot_rows: int = HOT_R
     size = F.lit(index.size) / F.pow(F.lit(float(FANOUT)), F.col("level"))
     keyed = keyed.withColumn("iy", F.floor(F.col("lat") / size)).withColumn("ix", F.floor(F.col("lon") / size))
     left, right = split_hot_cells(keyed, index.leaves, ["level", "iy", "ix"], hot_rows)
-    distance = metric.between(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
+    distance = targets.metric.between(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
     best = F.min(F.struct("distance", "target_id", "t_lat", "t_lon")).alias("best")
     return (
         left.join(right, ["level", "iy", "ix", "salt"])
         .withColumn("distance", distance)
-        .where(F.col("distance") <= index.radius)
+        .where(F.col("distance") <= targets.radius)
         .groupBy("lat", "lon").agg(best)
         .select("lat", "lon", "best.*")
     )
 
 
-def attach_nearest(points: DataFrame, index: NearestIndex, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_nearest(points: DataFrame, targets: Targets, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``points`` with ``target_id, t_lat, t_lon, distance`` of the nearest target, null where none is in reach."""
-    left, right = split_hot_cells(points, nearest_within(points, index, hot_rows), ["lat", "lon"], hot_rows)
+    left, right = split_hot_cells(points, nearest_within(points, targets, hot_rows), ["lat", "lon"], hot_rows)
     return left.join(right, ["lat", "lon", "salt"], "left").select(
         *points.columns, "target_id", "t_lat", "t_lon", "distance"
     )

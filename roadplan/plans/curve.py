@@ -9,7 +9,7 @@ from roadplan.functions.geometry import elevation_proxy, planar_km, round_places
 from roadplan.operators.crossings import crossing_counts, estimate_count
 from roadplan.operators.places import settlements_near, social_impact, tourism_near
 from roadplan.operators.polyline import KEY, VARIANT_ORDER, curve_waypoints, elevations
-from roadplan.operators.spatial import PLANAR_KM, attach_nearest, nearest_index
+from roadplan.operators.spatial import PLANAR_KM, Targets, attach_nearest
 from roadplan.operators.survey import earthwork
 from roadplan.operators.utilization import road_utilization
 
@@ -40,8 +40,7 @@ def nearest_river_km(requests: DataFrame, river_vertices: DataFrame) -> DataFram
         ((F.col("start_lat") + F.col("end_lat")) / 2).alias("lat"),
         ((F.col("start_lon") + F.col("end_lon")) / 2).alias("lon"),
     )
-    index = nearest_index(vertices, PLANAR_KM, RIVER_REACH_KM)
-    return attach_nearest(middle, index).select(
+    return attach_nearest(middle, Targets(vertices, PLANAR_KM, RIVER_REACH_KM)).select(
         "route_id", elevation_proxy(F.col("lat"), F.col("lon")).alias("mid_elevation"),
         F.col("distance").alias("river_km"),
     )

@@ -15,7 +15,7 @@ from roadplan.operators import paths as P
 from roadplan.operators.crossings import crossing_counts, estimate_count
 from roadplan.operators.places import settlements_near, social_impact, tourism_near
 from roadplan.operators.polyline import KEY, collapse_repeats, elevations, thin_points, waypoint_arrays
-from roadplan.operators.spatial import PLANAR_M, NearestIndex, attach_nearest, checkpointed, nearest_index
+from roadplan.operators.spatial import PLANAR_M, Targets, attach_nearest, checkpointed
 from roadplan.operators.survey import earthwork
 from roadplan.operators.utilization import road_utilization
 from roadplan.plans.curve import site_risks
@@ -36,20 +36,20 @@ class NetworkRoutes:
     waypoints: DataFrame
 
 
-def node_index(nodes: DataFrame, radius_m: float = SNAP_M) -> NearestIndex:
+def node_targets(nodes: DataFrame, radius_m: float = SNAP_M) -> Targets:
     targets = nodes.select(
         F.col("node_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")
     )
-    return nearest_index(targets, PLANAR_M, radius_m)
+    return Targets(targets, PLANAR_M, radius_m)
 
 
-def snapped_ends(requests: DataFrame, index: NearestIndex) -> DataFrame:
+def snapped_ends(requests: DataFrame, targets: Targets) -> DataFrame:
     """Nearest node of each request's start and end, null where none is in reach."""
     ends = F.inline(F.array(
         F.struct(F.lit("start").alias("end"), F.col("start_lat").alias("lat"), F.col("start_lon").alias("lon")),
         F.struct(F.lit("end").alias("end"), F.col("end_lat").alias("lat"), F.col("end_lon").alias("lon")),
     ))
-    snapped = attach_nearest(requests.select("route_id", ends), index)
+    snapped = attach_nearest(requests.select("route_id", ends), targets)
     side = lambda which, value: F.max(F.when(F.col("end") == which, F.col(value)))
     return snapped.groupBy("route_id").agg(
         side("start", "target_id").alias("start_node"), side("end", "target_id").alias("end_node"),
@@ -83,7 +83,7 @@ def find_routes(
     ``edges`` carry attributes and one cost column per criterion. Requests between the same nodes share
     one search. With ``contract`` chains of nodes without a junction are searched as single edges.
     """
-    snapped = checkpointed(snapped_ends(requests, node_index(nodes)))
+    snapped = checkpointed(snapped_ends(requests, node_targets(nodes)))
     both = snapped.where(F.col("start_node") != F.col("end_node"))
     searches = both.select(
         F.explode(F.array(*[F.lit(x) for x in criteria])).alias("criterion"),

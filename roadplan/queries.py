@@ -289,7 +289,7 @@ def construction_stats(spark, sf):
 
 @query
 def snap(spark, sf):
-    snapped = G.snapped_ends(spread_requests(spark, sf), G.node_index(X.nodes(spark, sf)))
+    snapped = G.snapped_ends(spread_requests(spark, sf), G.node_targets(X.nodes(spark, sf)))
     return snapped.select(
         "route_id", "start_node", "end_node", round_places(c("start_snap_m"), 3).alias("start_snap_m"),
         round_places(c("end_snap_m"), 3).alias("end_snap_m"),
@@ -336,15 +336,15 @@ def network_plan(spark, sf):
 
 @query
 def straight_samples(spark, sf):
-    index = G.node_index(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
-    rows = B.snapped_samples(spread_requests(spark, sf), index)
+    targets = G.node_targets(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
+    rows = B.snapped_samples(spread_requests(spark, sf), targets)
     return rows.withColumn("lat", round_places(c("lat"), 9)).withColumn("lon", round_places(c("lon"), 9))
 
 
 @query
 def hybrid_route(spark, sf):
-    index = G.node_index(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
-    return B.hybrid_routes(spread_requests(spark, sf), index).select(
+    targets = G.node_targets(X.nodes(spark, sf), B.SAMPLE_SNAP_M)
+    return B.hybrid_routes(spread_requests(spark, sf), targets).select(
         *KEY, "name", round_places(c("total_distance_km"), 6).alias("total_distance_km"), "new_construction_km",
         round_places(c("estimated_cost"), 0).alias("estimated_cost"),
     )
@@ -354,7 +354,7 @@ def hybrid_route(spark, sf):
 def routing_method(spark, sf):
     nodes, _, found = found_routes(spark, sf)
     requests = spread_requests(spark, sf)
-    routes = B.routed(requests, found.status, found.waypoints, G.node_index(nodes, B.SAMPLE_SNAP_M))
+    routes = B.routed(requests, found.status, found.waypoints, G.node_targets(nodes, B.SAMPLE_SNAP_M))
     return routes.select(*KEY, "routing_method")
 
 

@@ -117,7 +117,7 @@ def test_route_status_and_method(spark):
     status = {r.route_id: r.status for r in found.status.collect()}
     assert status[1] == "OK" and status[2] == "NO_SNAP_POINT_START" and status[3] == "NO_SNAP_POINT_END"
     assert status[4] == "SAME_NODE" and status.get(6, "NO_PATH_EXISTS") == "NO_PATH_EXISTS"
-    routes = B.routed(requests, found.status, found.waypoints, G.node_index(nodes, B.SAMPLE_SNAP_M)).collect()
+    routes = B.routed(requests, found.status, found.waypoints, G.node_targets(nodes, B.SAMPLE_SNAP_M)).collect()
     methods = defaultdict(set)
     for r in routes:
         methods[r.route_id].add(r.routing_method)
