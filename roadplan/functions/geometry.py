@@ -56,11 +56,11 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + t * (b - a)
 
 
-def intersection(
+def meeting(
     p1_lat: Column, p1_lon: Column, p2_lat: Column, p2_lon: Column,
     q1_lat: Column, q1_lon: Column, q2_lat: Column, q2_lon: Column,
-) -> Column:
-    """``struct(lat, lon)`` where segment p meets segment q, otherwise null. End points count."""
+) -> tuple[Column, Column, Column]:
+    """Whether segments p and q meet, end points included, and the latitude and longitude where they do."""
     p_dx, p_dy = p2_lon - p1_lon, p2_lat - p1_lat
     q_dx, q_dy = q2_lon - q1_lon, q2_lat - q1_lat
     gap_x, gap_y = q1_lon - p1_lon, q1_lat - p1_lat
@@ -68,7 +68,13 @@ def intersection(
     t = F.try_divide(gap_x * q_dy - gap_y * q_dx, cross)
     u = F.try_divide(gap_x * p_dy - gap_y * p_dx, cross)
     hit = (F.abs(cross) >= PARALLEL_EPS) & t.between(0, 1) & u.between(0, 1)
-    return F.when(hit, F.struct((p1_lat + t * p_dy).alias("lat"), (p1_lon + t * p_dx).alias("lon")))
+    return hit, p1_lat + t * p_dy, p1_lon + t * p_dx
+
+
+def intersection(*ends: Column) -> Column:
+    """``struct(lat, lon)`` of the meeting point of two segments, otherwise null."""
+    hit, lat, lon = meeting(*ends)
+    return F.when(hit, F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
 def point_segment_degrees(

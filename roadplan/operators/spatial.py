@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadplan.functions.geometry import (
-    EARTH_RADIUS_M, KM_PER_DEGREE, M_PER_DEGREE, haversine_m, intersection,
+    EARTH_RADIUS_M, KM_PER_DEGREE, M_PER_DEGREE, haversine_m, meeting,
 )
 from roadplan.session import set_checkpoint_dir
 
@@ -278,8 +278,8 @@ def overlapping(left: str, right: str, axis: str) -> Column:
     return (F.least(a1, a2) <= F.greatest(b1, b2) + PAD) & (F.least(b1, b2) <= F.greatest(a1, a2) + PAD)
 
 
-def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.1, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Segments of two line sets that meet, with the meeting point.
+def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.05, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Segments of two line sets that meet, with the meeting point ``at_lat, at_lon``.
 
     Both sides carry ``lat1, lon1, lat2, lon2``; the right side's are returned as ``r_*``. A pair that shares
     several cells is returned once for each of them.
@@ -292,14 +292,15 @@ def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.1, ho
         right_cells = right_cells.withColumnRenamed(c, f"r_{c}")
     a, b = left_cells.alias("a"), right_cells.alias("b")
     overlap = overlapping("a.", "b.r_", "lat") & overlapping("a.", "b.r_", "lon")
-    meet = intersection(
+    hit, at_lat, at_lon = meeting(
         *[F.col(f"a.{c}") for c in LINE], *[F.col(f"b.r_{c}") for c in LINE],
     )
     on = (F.col("a.iy") == F.col("b.iy")) & (F.col("a.ix") == F.col("b.ix")) & (F.col("a.salt") == F.col("b.salt"))
     names = [c for c in rivers.columns if c not in LINE]
-    return a.join(b, on & overlap & meet.isNotNull()).select(
+    return a.join(b, on & overlap & hit).select(
         *[F.col(f"a.{c}") for c in segments.columns], *[F.col(f"b.{c}") for c in names],
-        *[F.col(f"b.r_{c}") for c in LINE], meet.alias("at"),
+        *[F.col(f"b.r_{c}") for c in LINE],
+        at_lat.alias("at_lat"), at_lon.alias("at_lon"),
     )
 
 

@@ -9,7 +9,7 @@ def local_session(app: str = "roadplan", cores: str = "8") -> SparkSession:
     """Session for tests and the benchmark."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
-        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.sql.shuffle.partitions", str(4 * int(cores)))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
