@@ -1,9 +1,10 @@
 """Geography derived from the test tables, which carry no coordinates of their own."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from roadplan.operators.sequence import number_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,11 +48,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def way_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Way membership rows ``(way_id, pos, ref)``; the lines of an order are its vertices."""
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("way_id"),
-        (F.row_number().over(order) - 1).alias("pos"),
-        F.col("l_partkey").alias("ref"),
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *order)
+    return number_rows(lines, "l_orderkey", order, "pos").select(
+        F.col("l_orderkey").alias("way_id"), "pos", F.col("l_partkey").alias("ref")
     )
 
 

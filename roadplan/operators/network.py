@@ -54,7 +54,7 @@ def kept_way_ids(
     if bbox is not None:
         south, west, north, east = bbox
         inside = vertices.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
-        kept = kept.join(inside.select("way_id"), "way_id", "left_semi")
+        kept = kept.join(inside.select("way_id").distinct(), "way_id", "left_semi")
     return kept
 
 

@@ -15,7 +15,7 @@ from roadplan.operators import paths as P
 from roadplan.operators.crossings import crossing_counts, estimate_count
 from roadplan.operators.places import settlements_near, social_impact, tourism_near
 from roadplan.operators.polyline import KEY, collapse_repeats, elevations, thin_points, waypoint_arrays
-from roadplan.operators.spatial import PLANAR_M, Targets, attach_nearest, checkpointed
+from roadplan.operators.spatial import PLANAR_M, Targets, attach_nearest, checkpointed, split_hot_cells
 from roadplan.operators.survey import earthwork
 from roadplan.operators.utilization import road_utilization
 from roadplan.plans.curve import site_risks
@@ -99,8 +99,9 @@ def find_routes(
         steps = P.path_edges(table).withColumn("rank", F.lit(0))
     reached = P.arrivals(table)
     per_request = both.select("route_id", F.col("start_node").alias("source"), F.col("end_node").alias("target"))
+    askers, answers = split_hot_cells(per_request, steps, ["source", "target"])
     segments = (
-        per_request.join(steps, ["source", "target"]).withColumnRenamed("criterion", "variant")
+        askers.join(answers, ["source", "target", "salt"]).withColumnRenamed("criterion", "variant")
         .join(edges, "edge_id")
         .select(*KEY, "hop", "rank", "edge_id", "name", "highway_type", "distance_m", "lat1", "lon1", "lat2", "lon2")
     )
