@@ -202,9 +202,8 @@ def construction_stats(classified: DataFrame, *key: str) -> DataFrame:
     )
     share = F.when(F.col("total") > 0, F.col("upgrade") / F.col("total") * 100).otherwise(0.0)
     saved = F.when(F.col("total") > 0, F.col("upgrade") * 0.6 / F.col("total") * 100).otherwise(0.0)
-    r = round_places
     return sums.select(
         *key, F.col("total").alias("total_distance_km"),
-        r(F.col("new"), 2).alias("new_construction_km"), r(F.col("upgrade"), 2).alias("upgrade_existing_km"),
-        r(share, 1).alias("utilization_percent"), r(saved, 1).alias("cost_savings_percent"), "estimated_cost",
+        round_places(F.col("new"), 2).alias("new_construction_km"), round_places(F.col("upgrade"), 2).alias("upgrade_existing_km"),
+        round_places(share, 1).alias("utilization_percent"), round_places(saved, 1).alias("cost_savings_percent"), "estimated_cost",
     )
