@@ -25,6 +25,8 @@ from roadplan.operators.spatial import checkpointed
 THRESHOLD = 0.8
 RECALL = 0.999
 TREES, MAX_DEPTH = 16, 8
+#: Up to so many candidates (about 40 bytes each) are sent to all tasks instead of shuffling every text.
+BROADCAST_ROWS = 1_000_000
 #: Entries and shingles in a block; a component of more is cut up, smaller ones share tasks.
 BLOCK_ENTRIES, BLOCK_SHINGLES = 512, 400_000
 
@@ -47,6 +49,7 @@ def _sketches(parts: Iterator[pd.DataFrame], trees: int, depth: int, size: int)
             full = np.flatnonzero(np.diff(first))
             paths = np.zeros((j - i, trees), np.uint64)
             for t in range(trees) if len(full) else ():
+                paths[full, t] = t + 1
                 for d in range(depth):
                     least = np.minimum.reduceat((sets * factors[t, d]) >> np.uint64(24), first[full])
                     paths[full, t] = paths[full, t] * np.uint64(0x9E3779B97F4A7C15) + least
@@ -135,9 +138,9 @@ def near_duplicates(
     entries = known.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     entries = checkpointed(entries)
     own = sketches.where("size > 0").withColumnRenamed("id", "rep").join(entries, ["rep", "k1", "k2", "size"])
-    nodes = own.select("rep", F.posexplode("paths").alias("tree", "path")).distinct()
-    stars = nodes.groupBy("tree", "path").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    found = nodes.join(stars, ["tree", "path"]).where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
+    nodes = own.dropDuplicates(["rep", "k1", "k2", "size"]).select("rep", F.explode("paths").alias("node"))
+    stars = nodes.groupBy("node").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
+    found = nodes.join(stars, "node").where("rep > hub").select(F.col("rep").alias("a"), F.col("hub").alias("b"))
     candidates = checkpointed(
         components(found).withColumnRenamed("node", "rep").join(entries, "rep").select("rep", "root", "weight", "size"))
     classes, links = _verified(docs, candidates, threshold, shingle, id_col, text_col)
@@ -170,11 +173,12 @@ def _verified(docs: DataFrame, candidates: DataFrame, threshold: float, shingle:
                 yield out.assign(shingles=[sets[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)])
 
     entry = "rep long, root long, weight long, blocks int, block int"
-    sets = rows.join(placed.drop("size"), "rep").select("text", "rep", "root", "weight", "blocks", "block")
+    total, count = candidates.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    placed = placed.drop("size") if count > BROADCAST_ROWS else F.broadcast(placed.drop("size"))
+    sets = rows.join(placed, "rep").select("text", "rep", "root", "weight", "blocks", "block")
     sets = sets.mapInPandas(with_sets, entry + ", shingles binary").dropDuplicates(["rep", "shingles"])
     dealt = sets.select("rep", "root", "weight", "block", "shingles", F.explode(pairs).alias("p")).select(
         "rep", "root", "weight", "block", "shingles", "p.i", "p.j")
-    total = candidates.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     tasks = max(1, int(total // BLOCK_SHINGLES))
     dealt = dealt.withColumn("task", F.pmod(F.xxhash64("root", "i", "j"), F.lit(tasks)))
     compared = checkpointed(dealt.groupBy("task").applyInPandas(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadplan.llm import forest, lines, token_counts
+from roadplan.llm import decontaminate, forest, lines, packing, quality, token_counts
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -30,6 +30,21 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.with_token_counts(docs, vocabulary).select("doc_id", "n_tokens")
 
 
+@query
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.packed_pieces(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_classifier(spark, sf_dir):
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf_dir):
     return forest.class_report(table(spark, sf_dir, "documents"))
