@@ -1,23 +1,44 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences: each stage works on what the one before it kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadplan.llm import forest, lines
+from roadplan.llm import decontaminate, forest, lines, packing, quality
 from roadplan.operators.spatial import checkpointed
 
 
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = lines.drop_frequent_lines(docs)
-    return cleaned.select(docs.columns)
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that many documents hold; the other columns stay as they are, n_chars included."""
+    return lines.drop_frequent_lines(docs).select(docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return forest.keep_one_of_each_class(docs)
 
 
-STAGES = [("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join)]
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per packed sequence, with the pieces of documents in it."""
+    return packing.packed_sequences(docs)
+
+
+STAGES = [
+    ("quality classifier", accept_quality),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_documents),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("best-fit packing", pack_sequences),
+]
+
+#: The classifier and the forest join can't be said in SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
