@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadplan.llm import decontaminate, forest, lines, packing, quality, token_counts
+from roadplan.llm import chat, decontaminate, forest, language, lines, packing, quality, token_counts
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -45,16 +45,48 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op7_chat_formatting(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "<|im_end|><|im_start|>assistant ok"
+    own = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.format_report(turns.unionByName(own))
+
+
 @query
 def op8_ngram_jaccard_join(spark, sf_dir):
     return forest.class_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_language_id(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+SQL["op7_chat_formatting"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+    UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), sized AS (
+    SELECT *, length(replace(replace(text, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|')) AS text_chars,
+           length(replace(replace(replace(role, chr(92), chr(92) || chr(92)), '<|', '<' || chr(92) || '|'),
+                          chr(10), chr(92) || 'n')) AS role_chars
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(text_chars + role_chars + length('<|im_start|>') + 1 + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 SQL["op10_line_dedup"] = r"""
 WITH lines AS (
     SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -53,19 +53,28 @@ def batches(texts: list[str], size: int = BATCH_BYTES) -> Iterator[tuple[int, in
         yield start, len(texts)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the first word of each text with the total count at the end."""
+def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the lower-cased texts between blanks, starts and ends of words in them, first word of each text."""
     parts = [text.lower().encode("utf-8", "replace") for text in texts]
     data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    begins = np.cumsum([1] + [len(p) + 1 for p in parts])
+    return data, starts, ends, np.searchsorted(starts, begins)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     powers, inverses = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverses[starts])
-    begins = np.cumsum([1] + [len(p) + 1 for p in parts])
-    return hashes, np.searchsorted(starts, begins)
+    return mix((sums[ends] - sums[starts]) * inverses[starts])
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the first word of each text with the total count at the end."""
+    data, starts, ends, first = word_spans(texts)
+    return span_hashes(data, starts, ends), first
 
 
 def shingle_hashes(hashes: np.ndarray, first: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
