@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roadplan.llm import chat, decontaminate, forest, language, lines, packing, quality, token_counts
+from roadplan.llm import (
+    chat, decontaminate, forest, language, lines, neighbours, packing, passages, quality, token_counts,
+)
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -14,9 +17,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Register; Python workers are told where this package is, whatever folder the session was started in."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+        if ROOT not in paths:
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,11 +43,21 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.with_token_counts(docs, vocabulary).select("doc_id", "n_tokens")
 
 
+@query
+def op2_nearest_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 @query
 def op3_best_fit_packing(spark, sf_dir):
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_quality_classifier(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
