@@ -67,7 +67,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     columns = [f2, KINDS + f3, np.tile(np.arange(len(SHAPES)), n) + KINDS + KINDS * KINDS,
                cells % WORD_BUCKETS + (FEATURES - WORD_BUCKETS)]
     values = [np.sqrt(single[r2, f2] / sizes[r2]), np.sqrt(pairs[r3, f3] / sizes[r3]), shapes.ravel(),
-              np.sqrt(held / some[cells // WORD_BUCKETS]) / 4]
+              np.sqrt(held / some[cells // WORD_BUCKETS]) / 20]
     return np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
 
 
