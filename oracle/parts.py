@@ -1,6 +1,8 @@
 """Shared SQL text: scalar formulas and named common table expressions."""
 
-from roadplan.sources.defaults import CORRIDOR_DEGREES, CORRIDOR_ENDS
+# Both ends of the major routes as (lat, lon), and the half-width around them in degrees.
+CORRIDOR_ENDS = [(30.1, 78.3), (31.0, 78.9), (30.5, 78.5), (30.8, 78.8)]
+CORRIDOR_DEGREES = 0.05
 
 
 def spread(key: str, factor: int, modulus: int, origin: float) -> str:

@@ -133,6 +133,32 @@ SQL["route_status"] = with_ctes("ends reach", STATUS)
 SQL["path_costs"] = with_ctes("ends reach", """
 SELECT route_id, criterion AS variant, round(cost, 3) AS cost
 FROM ends JOIN reach ON origin = start_node AND node = end_node WHERE start_node <> end_node""")
+SQL["uncontracted_paths"] = SQL["path_costs"]
+
+
+def paths_under(criterion: str, edges: str, reads: str) -> str:
+    """Least costs of all requests under one criterion; ``edges`` selects edge_id, source, target and the cost w."""
+    return with_ctes("ends reach", """
+SELECT route_id, criterion AS variant, round(cost, 3) AS cost
+FROM ends JOIN reach ON origin = start_node AND node = end_node WHERE start_node <> end_node""",
+        criterion_cost=(reads.split(), f"SELECT *, '{criterion}' AS criterion FROM ({edges})", "criterion_cost"),
+        origin=(["ends"], f"""
+SELECT DISTINCT '{criterion}' AS criterion, start_node AS origin FROM ends
+WHERE start_node IS NOT NULL AND end_node IS NOT NULL AND start_node <> end_node""", "origin"))
+
+
+SQL["budget_paths"] = paths_under("budget", f"""
+SELECT edge_id, source, target, distance_m * CASE WHEN surface IN {PAVED} THEN 0.7 ELSE 1 END::DOUBLE AS w FROM edge""", "edge")
+SQL["social_paths"] = paths_under("social", f"""
+SELECT edge_id, source, target, any_value(distance_m) * CASE WHEN
+       bool_or({haversine('(lat1 + lat2) / 2', '(lon1 + lon2) / 2', 's.lat', 's.lon')} < 1000) THEN 0.6 ELSE 1 END::DOUBLE AS w
+FROM edge, settlement s GROUP BY edge_id, source, target""", "edge settlement")
+SQL["custom_cost_paths"] = paths_under("hours", """
+SELECT edge_id, source, target, distance_m / 1000 / CASE WHEN highway_type IN ('primary', 'trunk') THEN 60
+       WHEN highway_type = 'secondary' THEN 45 ELSE 25 END::DOUBLE AS w FROM edge""", "edge")
+SQL["contracted_paths"] = paths_under("shortest", """
+SELECT edge_id, source, target, distance_m AS w FROM edge
+UNION ALL SELECT edge_id || 'r', target, source, distance_m FROM edge""", "edge")
 SQL["straight_samples"] = with_ctes("sample_all_nodes", """
 SELECT route_id, seq, round(coalesce(n_lat, lat), 9) AS lat, round(coalesce(n_lon, lon), 9) AS lon,
        node_id IS NOT NULL AS on_road, node_id FROM sample_all_nodes""")

@@ -56,19 +56,27 @@ def lerp(a: Column, b: Column, t: Column) -> Column:
     return a + t * (b - a)
 
 
+def cross(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Twice the signed area between two vectors."""
+    return ax * by - ay * bx
+
+
 def meeting(
     p1_lat: Column, p1_lon: Column, p2_lat: Column, p2_lon: Column,
     q1_lat: Column, q1_lon: Column, q2_lat: Column, q2_lon: Column,
 ) -> tuple[Column, Column, Column]:
-    """Whether segments p and q meet, end points included, and the latitude and longitude where they do."""
-    p_dx, p_dy = p2_lon - p1_lon, p2_lat - p1_lat
-    q_dx, q_dy = q2_lon - q1_lon, q2_lat - q1_lat
-    gap_x, gap_y = q1_lon - p1_lon, q1_lat - p1_lat
-    cross = p_dx * q_dy - p_dy * q_dx
-    t = F.try_divide(gap_x * q_dy - gap_y * q_dx, cross)
-    u = F.try_divide(gap_x * p_dy - gap_y * p_dx, cross)
-    hit = (F.abs(cross) >= PARALLEL_EPS) & t.between(0, 1) & u.between(0, 1)
-    return hit, p1_lat + t * p_dy, p1_lon + t * p_dx
+    """Whether segments p and q meet, end points included, and the latitude and longitude where they do.
+
+    With p = P + s a and q = Q + r b, crossing both sides of P + s a = Q + r b with b and with a leaves one unknown each.
+    """
+    a, b = (p2_lon - p1_lon, p2_lat - p1_lat), (q2_lon - q1_lon, q2_lat - q1_lat)
+    between = (q1_lon - p1_lon, q1_lat - p1_lat)
+    area = cross(*a, *b)
+    along_p, along_q = (F.try_divide(cross(*between, *side), area) for side in (b, a))
+    inside = F.abs(area) >= PARALLEL_EPS
+    for part in (along_p, along_q):
+        inside &= (part >= 0) & (part <= 1)
+    return inside, lerp(p1_lat, p2_lat, along_p), lerp(p1_lon, p2_lon, along_p)
 
 
 def intersection(*ends: Column) -> Column:
@@ -81,11 +89,8 @@ def point_segment_degrees(
     lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column
 ) -> Column:
     """Distance in degrees from a point to a segment, measured to its ends beyond them."""
-    dx, dy = lon2 - lon1, lat2 - lat1
-    length = F.sqrt(dx * dx + dy * dy)
-    u = F.try_divide((lon - lon1) * dx + (lat - lat1) * dy, length * length)
-    near_lat = F.when(u < 0, lat1).when(u > 1, lat2).otherwise(lat1 + u * dy)
-    near_lon = F.when(u < 0, lon1).when(u > 1, lon2).otherwise(lon1 + u * dx)
-    return F.when(length == 0, planar_degrees(lat1, lon1, lat, lon)).otherwise(
-        planar_degrees(near_lat, near_lon, lat, lon)
-    )
+    side, to_point = (lon2 - lon1, lat2 - lat1), (lon - lon1, lat - lat1)
+    dot = lambda u, v: u[0] * v[0] + u[1] * v[1]
+    share = F.try_divide(dot(to_point, side), dot(side, side))
+    on_segment = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))))
+    return planar_degrees(lerp(lat1, lat2, on_segment), lerp(lon1, lon2, on_segment), lat, lon)

@@ -57,15 +57,20 @@ def snapped_ends(requests: DataFrame, targets: Targets) -> DataFrame:
     )
 
 
-def route_status(snapped: DataFrame, reached: DataFrame) -> DataFrame:
-    """Why a request has no network route, or ``OK``; ``reached`` lists (source, target) pairs with a path."""
-    pairs = reached.select(
-        F.col("source").alias("start_node"), F.col("target").alias("end_node")
-    ).distinct().withColumn("found", F.lit(True))
+def route_status(snapped: DataFrame, reached: DataFrame, unfinished: DataFrame) -> DataFrame:
+    """Why a request has no network route, or ``OK``.
+
+    ``reached`` lists (source, target) pairs with a path, ``unfinished`` those of which a search was cut short.
+    """
+    known = reached.select("source", "target", F.lit(True).alias("found"), F.lit(False).alias("cut")).unionByName(
+        unfinished.select("source", "target", F.lit(False).alias("found"), F.lit(True).alias("cut")))
+    pairs = known.groupBy(F.col("source").alias("start_node"), F.col("target").alias("end_node")).agg(
+        F.max("found").alias("found"), F.max("cut").alias("cut"))
     status = (
         F.when(F.col("start_node").isNull(), "NO_SNAP_POINT_START")
         .when(F.col("end_node").isNull(), "NO_SNAP_POINT_END")
         .when(F.col("start_node") == F.col("end_node"), "SAME_NODE")
+        .when(F.col("cut"), "UNFINISHED")
         .when(F.col("found").isNull(), "NO_PATH_EXISTS")
         .otherwise("OK")
     )
@@ -76,12 +81,14 @@ def route_status(snapped: DataFrame, reached: DataFrame) -> DataFrame:
 
 def find_routes(
     requests: DataFrame, nodes: DataFrame, edges: DataFrame, criteria: list[str] = CRITERIA,
-    contract: bool = False, max_rounds: int = P.MAX_ROUNDS,
+    contract: bool = True, max_rounds: int | None = None,
 ) -> NetworkRoutes:
     """Snap, search and describe the paths of all requests at once.
 
     ``edges`` carry attributes and one cost column per criterion. Requests between the same nodes share
-    one search. With ``contract`` chains of nodes without a junction are searched as single edges.
+    one search. With ``contract`` chains of nodes without a junction are searched as single edges. A criterion may be
+    any column of non-negative costs. With ``max_rounds`` the status of requests whose search was cut short is
+    ``UNFINISHED``, and such a search gives no route.
     """
     snapped = checkpointed(snapped_ends(requests, node_targets(nodes)))
     both = snapped.where(F.col("start_node") != F.col("end_node"))
@@ -89,13 +96,14 @@ def find_routes(
         F.explode(F.array(*[F.lit(x) for x in criteria])).alias("criterion"),
         F.col("start_node").alias("source"), F.col("end_node").alias("target"),
     ).distinct()
+    factors = P.least_factors(edges, criteria, P.LEAST_FACTOR)
     if contract:
         stops = searches.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
         members = P.chain_members(edges, stops)
-        table = P.least_cost_paths(searches, nodes, P.contract(edges, members, criteria), criteria, max_rounds)
+        table = P.least_cost_paths(searches, nodes, P.contract(edges, members, criteria), criteria, max_rounds, factors)
         steps = P.expand(P.path_edges(table), members)
     else:
-        table = P.least_cost_paths(searches, nodes, edges, criteria, max_rounds)
+        table = P.least_cost_paths(searches, nodes, edges, criteria, max_rounds, factors)
         steps = P.path_edges(table).withColumn("rank", F.lit(0))
     reached = P.arrivals(table)
     per_request = both.select("route_id", F.col("start_node").alias("source"), F.col("end_node").alias("target"))
@@ -108,7 +116,7 @@ def find_routes(
     costs = per_request.join(reached, ["source", "target"]).select(
         "route_id", F.col("criterion").alias("variant"), "cost", "hops"
     )
-    return NetworkRoutes(route_status(snapped, reached), costs, segments, path_waypoints(segments))
+    return NetworkRoutes(route_status(snapped, reached, table.open_searches), costs, segments, path_waypoints(segments))
 
 
 def path_waypoints(segments: DataFrame) -> DataFrame:

@@ -312,6 +312,43 @@ def path_costs(spark, sf):
     return costs.select(*KEY, round_places(c("cost"), 3).alias("cost"))
 
 
+def searched(spark: SparkSession, sf: str, roads: DataFrame, criteria: list[str], **options) -> DataFrame:
+    nodes = network(spark, sf)[0]
+    found = G.find_routes(spread_requests(spark, sf), nodes, roads, criteria, **options)
+    return found.costs.select(*KEY, round_places(c("cost"), 3).alias("cost"))
+
+
+@query
+def budget_paths(spark, sf):
+    return searched(spark, sf, network(spark, sf)[1], ["budget"])
+
+
+@query
+def social_paths(spark, sf):
+    roads = network(spark, sf)[1].drop("shortest", "safest", "budget")
+    return searched(spark, sf, checkpointed(N.edge_costs(N.near_settlement(roads, X.settlements(spark, sf)))), ["social"])
+
+
+@query
+def custom_cost_paths(spark, sf):
+    """Hours on the road, a criterion of the caller's own."""
+    km = c("distance_m") / 1000
+    hours = F.when(c("highway_type").isin("primary", "trunk"), km / 60).when(c("highway_type") == "secondary", km / 45)
+    roads = checkpointed(network(spark, sf)[1].withColumn("hours", hours.otherwise(km / 25)))
+    return searched(spark, sf, roads, ["hours"])
+
+
+@query
+def contracted_paths(spark, sf):
+    """Roads open in both directions, chains searched as single edges."""
+    return searched(spark, sf, checkpointed(N.bidirectional(network(spark, sf)[1])), ["shortest"], contract=True)
+
+
+@query
+def uncontracted_paths(spark, sf):
+    return searched(spark, sf, network(spark, sf)[1], ["shortest", "safest"], contract=False)
+
+
 @query
 def route_from_path(spark, sf):
     _, roads, found = found_routes(spark, sf)

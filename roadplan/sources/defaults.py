@@ -72,8 +72,8 @@ SETTLEMENTS = [
 DEFAULT_START = (30.7268, 78.4354)
 DEFAULT_END = (30.9993, 78.9394)
 
-# Both ends of every major route as (lat, lon), and the half-width around them in degrees.
-CORRIDOR_ENDS = [(30.1, 78.3), (31.0, 78.9), (30.5, 78.5), (30.8, 78.8)]
+# Both ends of every major route as (lat, lon). Fixed value: the half-width around them in degrees.
+CORRIDOR_ENDS = [end for _, *at, _ in MAJOR_ROUTES for end in (tuple(at[:2]), tuple(at[2:]))]
 CORRIDOR_DEGREES = 0.05
 
 

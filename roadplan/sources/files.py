@@ -30,10 +30,10 @@ SNAPSHOT = f"nodes map<string, {NODE}>, edges map<string, {EDGE}>, metadata map<
 
 
 def load_or_default(read: Callable[[], DataFrame], default: DataFrame) -> DataFrame:
-    """``read()``, or ``default`` when the source is missing or cannot be analysed."""
+    """``read()``, or ``default`` when the source is missing or its first rows cannot be read."""
     try:
         loaded = read()
-        loaded.schema
+        loaded.isEmpty()
         return loaded
     except PySparkException:
         return default
@@ -77,20 +77,16 @@ def read_features(spark: SparkSession, path: str, one_per_line: bool = False) ->
     if one_per_line:
         rows = spark.read.schema(FEATURE_LINE).json(path)
         return rows.select(F.monotonically_increasing_id().alias("feature_seq"), "geometry", "properties")
-    documents = spark.read.schema(FEATURES).option("multiLine", True).json(path)
+    documents = spark.read.schema(FEATURES).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return documents.select(F.posexplode("features").alias("feature_seq", "f")).select(
         F.col("feature_seq").cast("bigint").alias("feature_seq"), "f.geometry", "f.properties"
     )
 
 
-def line_vertices(features: DataFrame, max_features: int | None = None, max_vertices: int | None = None) -> DataFrame:
-    """Vertices of the LineStrings. The caps on features and vertices per feature are off by default."""
+def line_vertices(features: DataFrame) -> DataFrame:
+    """Vertices of the LineStrings."""
     lines = features.where(F.col("geometry.type") == "LineString")
-    if max_features is not None:
-        lines = lines.where(F.col("feature_seq") < max_features)
     points = F.from_json("geometry.coordinates", "array<array<double>>")
-    if max_vertices is not None:
-        points = F.slice(points, 1, max_vertices)
     return lines.select(
         F.col("feature_seq").alias("river_id"),
         F.coalesce("properties.name", F.lit("Unnamed River")).alias("name"),
@@ -98,11 +94,9 @@ def line_vertices(features: DataFrame, max_features: int | None = None, max_vert
     ).select("river_id", "name", "waterway", "seq", F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"))
 
 
-def point_places(features: DataFrame, max_features: int | None = None) -> DataFrame:
+def point_places(features: DataFrame) -> DataFrame:
     """Settlements from Points with at least two coordinates; a population that is no number is null."""
     points = features.where(F.col("geometry.type") == "Point")
-    if max_features is not None:
-        points = points.where(F.col("feature_seq") < max_features)
     at = F.from_json("geometry.coordinates", "array<double>")
     return points.withColumn("at", at).where(F.size("at") >= 2).select(
         "feature_seq", F.coalesce("properties.name", F.lit("Unnamed Settlement")).alias("name"),

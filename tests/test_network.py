@@ -90,6 +90,59 @@ def test_round_limit_is_reported(spark):
     assert P.least_cost_paths(searches(spark, [(0, 41)]), nodes, edges, ["shortest", "safest"], max_rounds=1).unfinished
 
 
+def test_cut_searches_have_no_cost(spark):
+    nodes, edges = graph(spark)
+    table = P.least_cost_paths(searches(spark, [(0, 41)]), nodes, edges, ["shortest", "safest"], max_rounds=1)
+    assert {(r.source, r.target) for r in table.open_searches.collect()} == {(0, 41)}
+    assert P.arrivals(table).isEmpty() and P.path_edges(table).isEmpty()
+    at = {r.node_id: (r.lat, r.lon) for r in nodes.collect()}
+    requests = spark.createDataFrame(
+        [(1, *at[0], *at[41])], "route_id long, start_lat double, start_lon double, end_lat double, end_lon double")
+    assert G.find_routes(requests, nodes, edges, max_rounds=1, contract=False).status.first().status == "UNFINISHED"
+
+
+def chain(spark, n, two_way):
+    nodes = spark.createDataFrame([(i, 29 + i / 5000, 79.0) for i in range(n)], "node_id long, lat double, lon double")
+    both = [(i, i + 1) for i in range(n - 1)] + ([(i + 1, i) for i in range(n - 1)] if two_way else [])
+    edges = spark.createDataFrame(
+        [(f"{a}-{b}", a, b, 29 + a / 5000, 79.0, 29 + b / 5000, 79.0, 0.5 + (a + b) % 3) for a, b in both],
+        "edge_id string, source long, target long, lat1 double, lon1 double, lat2 double, lon2 double, hours double")
+    return nodes, edges
+
+
+@pytest.mark.parametrize("two_way", [False, True])
+def test_long_chain_under_a_cost_of_the_callers_own(spark, two_way):
+    n = 3000
+    nodes, edges = chain(spark, n, two_way)
+    wanted = spark.createDataFrame([("hours", 3, n - 2)], "criterion string, source long, target long")
+    keep = spark.createDataFrame([(3,), (n - 2,)], "node_id long")
+    members = P.chain_members(edges, keep)
+    short = P.contract(edges, members, ["hours"])
+    assert short.count() == (6 if two_way else 3)
+    factors = P.least_factors(edges, ["hours"], P.LEAST_FACTOR)
+    table = P.least_cost_paths(wanted, nodes, short, ["hours"], factors=factors)
+    steps = P.expand(P.path_edges(table), members).orderBy("hop", "rank").collect()
+    assert [r.edge_id for r in steps] == [f"{i}-{i + 1}" for i in range(3, n - 2)]
+    assert P.arrivals(table).first().cost == pytest.approx(sum(0.5 + (2 * i + 1) % 3 for i in range(3, n - 2)))
+
+
+def test_margin_and_pointers_without_contraction(spark):
+    nodes, edges = chain(spark, 12, True)
+    wanted = spark.createDataFrame([("hours", 0, 11)], "criterion string, source long, target long")
+    table = P.least_cost_paths(wanted, nodes, edges, ["hours"])
+    assert [r.hop for r in P.path_edges(table).orderBy("hop").collect()] == list(range(1, 12))
+
+
+def test_unknown_or_bad_costs_are_errors(spark):
+    nodes, edges = chain(spark, 4, False)
+    wanted = spark.createDataFrame([("pain", 0, 3)], "criterion string, source long, target long")
+    for name in ("pain", "hours"):
+        with pytest.raises(ValueError):
+            P.least_cost_paths(wanted, nodes, edges, [name])
+    with pytest.raises(ValueError):
+        P.least_factors(edges.withColumn("hours", -F.col("hours")), ["hours"], {})
+
+
 def test_chains_and_loops(spark):
     rows = [(f"c{i}", i, i + 1) for i in range(9)] + [("x", 4, 20), ("l1", 30, 31), ("l2", 31, 30)]
     edges = spark.createDataFrame(rows, "edge_id string, source long, target long")
