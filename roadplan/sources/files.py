@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def load_or_default(read: Callable[[], DataFrame], default: DataFrame) -> DataFr
         loaded = read()
         loaded.isEmpty()
         return loaded
-    except PySparkException:
+    except (PySparkException, Py4JJavaError):
         return default
 
 
