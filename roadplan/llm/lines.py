@@ -2,7 +2,7 @@
 
 Lines are exploded as hashes, distinct documents are counted per hash, and the lines over the threshold are left out when
 a text is put together again. Texts move once, by document; a line that a third of all documents hold is a count that
-map tasks add up first, and the joins are plain equi-joins that adaptive execution may split.
+map tasks add up first, and the frequent keys go to all tasks while they are few, so such a line is no task's work.
 """
 
 from __future__ import annotations
@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadplan.operators.spatial import checkpointed
+
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
+#: Up to so many frequent keys (16 bytes each) are sent to all tasks; beyond, keys are shuffled and joined.
+BROADCAST_ROWS = 1_000_000
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -35,7 +39,8 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, m
     held = docs.select(F.col(id_col).alias("id"), F.explode(keys).alias("k")).where("k is not null")
     held = held.select("id", "k.a", "k.b")
     frequent = held.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return held.join(frequent.select("a", "b"), ["a", "b"])
+    frequent = checkpointed(frequent.select("a", "b"))
+    return held.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent, ["a", "b"])
 
 
 def drop_frequent_lines(
