@@ -24,6 +24,8 @@ from roadplan.operators.spatial import checkpointed
 FIT_ROWS, TRIAL_QUERIES = 20_000, 100
 CELL_ROWS, MAX_CELLS = 256, 4096
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 4096
+#: Cells visited in the first round, and how many times as many after each further round.
+FIRST_CELLS, MORE_CELLS = 2, 7
 #: Share of the trial queries' true neighbours that lie in visited cells.
 COVERED = 0.985
 #: Width of the error bound in standard errors of the estimate.
@@ -208,15 +210,19 @@ def nearest(
     asking = rows.where(is_query).select("vec_id", "v")
     one_each = checkpointed(asking.groupBy("v").agg(F.min("vec_id").alias("qid")).select("qid", F.col("v").alias("q")))
     visited = _cells_to_visit(one_each, indexed, index, shared, k)
-    start = one_each.withColumn("floor", F.lit(float("-inf")))
-    near = checkpointed(_visit(_visits(start, shared, 0, 1), indexed, counts, shared, k + 1))
-    best = _first(near, "qid", [F.desc("score"), "rep"], k + 1)
-    floors = best.groupBy("qid").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
-    floors = floors.select("qid", F.when(F.col("n") > k, F.col("floor")).otherwise(float("-inf")).alias("floor"))
-    far_queries = one_each.join(floors, "qid", "left").select(
-        "qid", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
-    far = _visit(_visits(checkpointed(far_queries), shared, 1, visited), indexed, counts, shared, k + 1)
-    found = _first(near.union(far), "qid", [F.desc("score"), "rep"], k + 1).select("qid", "rep", "score")
+    # each round visits several times the cells before it and raises the floors, so few rows leave the tasks of the next
+    asked = one_each.withColumn("floor", F.lit(float("-inf")))
+    found, first, last = None, 0, min(FIRST_CELLS, visited)
+    while first < last:
+        reached = _visit(_visits(asked, shared, first, last), indexed, counts, shared, k + 1)
+        best = _first(reached if found is None else found.union(reached), "qid", [F.desc("score"), "rep"], k + 1)
+        found = checkpointed(best.select("qid", "rep", "score"))
+        first, last = last, min(visited, last * MORE_CELLS)
+        if first < last:
+            floors = found.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+            floor = F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf"))
+            asked = checkpointed(one_each.join(floors, "qid", "left").select(
+                "qid", "q", F.coalesce(floor, F.lit(float("-inf"))).alias("floor")))
 
     same = members.where("place = 1").select(F.col("vec_id").alias("rep"), "v").join(
         members.select("vec_id", "v"), "v").select("rep", "vec_id")
