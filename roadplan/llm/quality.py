@@ -134,11 +134,31 @@ def remainder(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
+def share_within(sized: DataFrame, bound_rows: int, bound_chars: int) -> float:
+    """The share of rows (of a table with a column ``chars``) that keeps to both bounds, about."""
+    n, chars = sized.agg(F.count("*"), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    return min(1.0, bound_rows / max(1, n), bound_chars / max(1, chars))
+
+
+def in_share(share: float, salt: int) -> Column:
+    """Whether a hash of ``doc_id`` falls into the share."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1)
+
+
 def sampled(rows: DataFrame, bound_rows: int, bound_chars: int, salt: int) -> DataFrame:
     """About ``bound_rows`` rows and ``bound_chars`` characters of (doc_id, text, ...), chosen by a hash of the id."""
-    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    share = min(1.0, bound_rows / max(1, n), bound_chars / max(1, chars))
-    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) < int(share * 1_000_000) + (share == 1))
+    return rows.where(in_share(share_within(rows.select(F.length("text").alias("chars")), bound_rows, bound_chars), salt))
+
+
+def sampled_with(rows: DataFrame, known: DataFrame, bound_rows: int, bound_chars: int, salt: int) -> DataFrame:
+    """The same of ``rows`` joined with ``known``, which has one row per ``doc_id``.
+
+    Only ids and lengths are shuffled to find the share; the rows of ``known`` that are then chosen are about
+    ``bound_rows`` at most, so they are broadcast and no text moves before it is chosen.
+    """
+    sized = rows.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id")
+    share = min(share_within(sized, bound_rows, bound_chars), bound_rows / max(1, known.count()))
+    return rows.where(in_share(share, salt)).join(F.broadcast(known.where(in_share(share, salt))), "doc_id")
 
 
 class QualityModel:
@@ -162,8 +182,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
     counts = dict(known.groupBy("quality").count().collect())
     ones, zeros = counts.get(1, 0), counts.get(0, 0)
     prior = (ones + 1) / (ones + zeros + 2)
-    labelled = [(r.text or "", r.quality) for r in sampled(
-        rows.join(known, "doc_id"), SAMPLE_ROWS, SAMPLE_CHARS, 1).select("text", "quality").collect()]
+    labelled = [(r.text or "", r.quality) for r in sampled_with(
+        rows, known, SAMPLE_ROWS, SAMPLE_CHARS, 1).select("text", "quality").collect()]
     free = [r.text or "" for r in sampled(rows, SAMPLE_ROWS, SAMPLE_CHARS, 2).select("text").collect()]
     target = np.array([q for _, q in labelled])
     if not free or len(set(target)) < 2:
