@@ -1,7 +1,7 @@
 """Distance joins as equi-joins on grid cells.
 
 The larger, request-driven side keeps one row per point; the dimension side is copied to every cell
-its reach touches. Cells that hold very many points are split over several join keys, and cells
+its reach touches. Cells with very many rows or comparisons are split over several join keys, and cells
 that too many targets reach are quartered until few candidates are left per cell, so neither a
 crowded place nor a popular one ends up in a single task.
 """
@@ -20,6 +20,7 @@ from roadplan.functions.geometry import (
 from roadplan.session import set_checkpoint_dir
 
 HOT_ROWS = 2_000_000
+HOT_PAIRS = 500_000_000
 LEAF_TARGETS = 256
 FANOUT = 4
 MAX_LEVELS = 16
@@ -66,27 +67,34 @@ def cell_of(value: Column, size: float) -> Column:
     return F.floor(value / size)
 
 
-def split_hot_cells(points: DataFrame, targets: DataFrame, cell: list[str], hot_rows: int = HOT_ROWS):
-    """Spread the points of overfull cells over ``salt`` and copy those cells' targets to match.
+def split_hot_cells(
+    points: DataFrame, targets: DataFrame, cell: list[str], hot_rows: int = HOT_ROWS, hot_pairs: int = HOT_PAIRS,
+):
+    """Spread overfull cells over ``salt``, so that points and targets of a cell meet exactly once.
 
-    There are at most ``rows / hot_rows`` overfull cells, which bounds the broadcast.
+    A cell is cut into blocks of at most ``hot_rows`` rows of either side and about ``hot_pairs`` comparisons, whichever
+    side the crowd is on; the rows of one side are copied once per part of the other. Both sides are counted together.
+    Only cut cells are broadcast: each has more than ``hot_rows`` or ``sqrt(hot_pairs)`` rows, which bounds their number.
     """
+    mark = lambda side, p, t: side.select(*cell, F.lit(p).alias("p"), F.lit(t).alias("t"))
+    counts = mark(points, 1, 0).unionAll(mark(targets, 0, 1)).groupBy(*cell).agg(
+        F.sum("p").alias("p"), F.sum("t").alias("t"))
+    block = lambda other: F.least(F.lit(float(hot_rows)), F.greatest(
+        F.lit(float(hot_pairs) ** 0.5), F.lit(float(hot_pairs)) / F.col(other)))
+    parts = lambda side, other: F.ceil(F.col(side) / block(other)).cast("int")
     hot = (
-        points.groupBy(*cell).count().where(F.col("count") > hot_rows)
-        .select(*cell, F.ceil(F.col("count") / hot_rows).cast("int").alias("parts"))
+        counts.where((F.col("p") > 0) & (F.col("t") > 0))
+        .select(*cell, parts("p", "t").alias("p_parts"), parts("t", "p").alias("t_parts"))
+        .where((F.col("p_parts") > 1) | (F.col("t_parts") > 1))
     )
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    salted = (
-        points.join(F.broadcast(hot), cell, "left")
-        .withColumn("salt", F.pmod(F.xxhash64(*[F.col(c) for c in points.columns]), parts).cast("int"))
-        .drop("parts")
+    p_parts, t_parts = F.coalesce("p_parts", F.lit(1)), F.coalesce("t_parts", F.lit(1))
+    part = lambda side, n: F.pmod(F.xxhash64(*[F.col(c) for c in side.columns]), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    dealt = lambda side, p, t: (
+        side.join(F.broadcast(hot), cell, "left").withColumn("_p", p).withColumn("_t", t)
+        .withColumn("salt", F.col("_p") * t_parts + F.col("_t")).drop("p_parts", "t_parts", "_p", "_t")
     )
-    copied = (
-        targets.join(F.broadcast(hot), cell, "left")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("parts")
-    )
-    return salted, copied
+    return dealt(points, part(points, p_parts), every(t_parts)), dealt(targets, every(p_parts), part(targets, t_parts))
 
 
 def cover_disc(targets: DataFrame, metric: Metric, radius: float, size: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """KML, GPX, GeoJSON and response documents, one text per route or request."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadplan.functions import earthwork as E
@@ -13,6 +13,7 @@ LAYER_COLORS = {"shortest": "#3b82f6", "safest": "#10b981", "budget": "#f97316",
 KEEP = {"survey_points": 10, "waypoints": 10, "river_crossings": 5, "nearby_settlements": 10, "tourism_spots": 3}
 CREATOR = "roadplan"
 
+# The texts around the coordinates in KML and GPX.
 KML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
 <kml xmlns="http://www.opengis.net/kml/2.2">
   <Document>
@@ -258,8 +259,19 @@ def stamped(documents: DataFrame) -> DataFrame:
     return documents.withColumn("timestamp", T.iso_timestamp(F.current_timestamp()))
 
 
+def document_files(documents: DataFrame, column: str, suffix: str) -> DataFrame:
+    """(file_name, text) per route; names hold the route's key, so no two routes share one."""
+    name = F.concat_ws("_", *[F.col(x).cast("string") for x in KEY])
+    return documents.select(F.concat(name, F.lit(f".{suffix}")).alias("file_name"), F.col(column).alias("text"))
+
+
 def write_documents(documents: DataFrame, column: str, path: str) -> None:
-    """One folder per route, one text file in each."""
-    documents.select(
-        *KEY, F.col(column).alias("value")
-    ).write.partitionBy(*KEY).mode("overwrite").option("lineSep", "\n").text(path)
+    """All documents of a kind as Parquet rows of file name and text, in as many files as there are partitions."""
+    document_files(documents, column, column).write.mode("overwrite").parquet(path)
+
+
+def export_files(spark: SparkSession, path: str, out: str, file_names: list[str]) -> None:
+    """One folder with one text for each of the routes asked for, read back from what ``write_documents`` wrote."""
+    chosen = spark.read.parquet(path).where(F.col("file_name").isin(file_names))
+    chosen.select("file_name", F.col("text").alias("value")).write.partitionBy("file_name").mode("overwrite").option(
+        "lineSep", "\n").text(out)

@@ -177,7 +177,12 @@ def test_exports_are_well_formed(spark, golden, tmp_path):
         assert len(line["geometry"]["coordinates"]) == {"shortest": 6, "safest": 8}[r.variant]
         assert line["properties"]["name"].endswith("Route")
     D.write_documents(D.waypoint_documents(plan.join(waypoints, KEY)), "kml", str(tmp_path / "kml"))
-    assert len(list((tmp_path / "kml").rglob("*.txt"))) == 2
+    written = {r.file_name: r.text for r in spark.read.parquet(str(tmp_path / "kml")).collect()}
+    assert set(written.values()) == {r.kml for r in texts} and len(written) == 2
+    name = min(written)
+    D.export_files(spark, str(tmp_path / "kml"), str(tmp_path / "one"), [name])
+    (only,) = (tmp_path / "one").rglob("*.txt")
+    assert only.read_text().rstrip("\n") == written[name] and name in str(only)
 
 
 def test_quotes_in_names_survive_geojson(spark, golden):
