@@ -418,6 +418,16 @@ FROM (SELECT *, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY rout
       WINDOW w AS (PARTITION BY route_id, variant ORDER BY k))
 WHERE n <= 25 OR nth = 0 OR nth = n - 1 OR (nth % (n // 24) = 0 AND nth // (n // 24) BETWEEN 1 AND 23)""", "wp")
 
+# The same before thinning.
+WHOLE_WP = (["path"], f"""
+SELECT route_id, variant, (row_number() OVER (PARTITION BY route_id, variant ORDER BY k) - 1)::INTEGER AS seq, lat, lon,
+       {elevation('lat', 'lon')} AS elevation
+FROM (SELECT *, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0
+      FROM (SELECT route_id, variant, hop * 2 AS k, lat1 AS lat, lon1 AS lon FROM path
+            UNION ALL SELECT route_id, variant, hop * 2 + 1, lat2, lon2 FROM path)
+      WINDOW w AS (PARTITION BY route_id, variant ORDER BY k))
+WHERE lat0 IS NULL OR lat0 <> lat OR lon0 <> lon""", "road_wp")
+
 cte("export", "terrain request utilization", f"""
 SELECT t.route_id, t.variant, t.elevation_gain_m, t.terrain_risk, context,
        CASE t.variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name,

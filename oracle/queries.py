@@ -298,11 +298,59 @@ FROM (SELECT p.route_id, p.variant, CASE p.variant WHEN 'safest' THEN 'Safest Ro
       JOIN (SELECT route_id, variant, count(*) AS n FROM wp GROUP BY ALL) w USING (route_id, variant)
       LEFT JOIN bridge_count USING (route_id, variant) JOIN social USING (route_id, variant)
       JOIN utilization u USING (route_id, variant) JOIN earthwork USING (route_id, variant))""", wp=O.NETWORK_WP)
-SQL["routing_method"] = with_ctes("ends reach sample_network", f"""
+SQL["corridor_table"] = SQL["road_utilization"]
+ROUTING = f"""
 SELECT route_id, variant, CASE WHEN status = 'OK' THEN 'osm_network'
        WHEN starts_with(status, 'NO_SNAP') AND on_road THEN 'hybrid' ELSE 'mathematical' END AS routing_method
 FROM ({STATUS}) JOIN (SELECT route_id, bool_or(node_id IS NOT NULL) AS on_road FROM sample_network GROUP BY route_id)
-     USING (route_id), (VALUES ('shortest'), ('safest')) v(variant)""")
+     USING (route_id), (VALUES ('shortest'), ('safest')) v(variant)"""
+SQL["routing_method"] = with_ctes("ends reach sample_network", ROUTING)
+CURVE_WP = (O.CTES["wp"][0], O.CTES["wp"][1], "curve_wp")
+ANY_WP = (["curve_wp", "method", "sample_network", "road_wp"], f"""
+SELECT w.route_id, w.variant, w.seq, w.lat, w.lon, w.elevation
+FROM curve_wp w JOIN method m ON m.route_id = w.route_id AND m.variant = w.variant AND m.routing_method = 'mathematical'
+UNION ALL SELECT route_id, variant, seq, lat, lon, elevation FROM road_wp
+UNION ALL SELECT route_id, variant, seq, lat, lon, {elevation('lat', 'lon')}
+FROM (SELECT s.route_id, m.variant, s.seq, coalesce(s.n_lat, s.lat) AS lat, coalesce(s.n_lon, s.lon) AS lon
+      FROM sample_network s JOIN method m ON m.route_id = s.route_id AND m.routing_method = 'hybrid')""", "wp AS MATERIALIZED")
+ROAD_STATS = (["path_stats", "wp", "method"], f"""
+SELECT route_id, variant, CASE variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name,
+       total_distance_km, 0::DOUBLE AS new_construction_km, round(total_distance_km, 2) AS existing_road_km,
+       100::DOUBLE AS utilization_percent, 60::DOUBLE AS cost_savings_percent, estimated_cost FROM path_stats
+UNION ALL
+SELECT route_id, variant, CASE variant WHEN 'safest' THEN 'Safest Hybrid Route' ELSE 'Hybrid Route (OSM + Direct)' END,
+       km, round(km, 2), 0, 0, 0, round(km * 1000000, 2)
+FROM (SELECT route_id, variant, sum({haversine('lat', 'lon', 'lat2', 'lon2')} ORDER BY seq) / 1000
+             * CASE variant WHEN 'safest' THEN 1.1::DOUBLE ELSE 1 END AS km
+      FROM (SELECT w.*, lead(lat) OVER n AS lat2, lead(lon) OVER n AS lon2 FROM wp w
+            JOIN method m ON m.route_id = w.route_id AND m.variant = w.variant AND m.routing_method = 'hybrid'
+            WINDOW n AS (PARTITION BY w.route_id, w.variant ORDER BY seq))
+      WHERE lat2 IS NOT NULL GROUP BY route_id, variant)""", "road_stats")
+SURVEYED = """total_waypoints, total_length_m, max_gradient_percent, avg_gradient_percent, trunc(cut)::BIGINT AS total_cut_m3,
+       trunc(fill)::BIGINT AS total_fill_m3, trunc(cut - fill)::BIGINT AS balance_m3, balance_status"""
+SQL["planned_routes"] = with_ctes("plan method road_stats terrain_raw site bridge_count social earthwork", f"""
+SELECT route_id, variant, routing_method, CASE variant WHEN 'safest' THEN 'route-2' ELSE 'route-1' END AS id,
+       CASE variant WHEN 'safest' THEN 'Safest Route' ELSE 'Shortest Route' END AS name, round(round(km, 2), 6) AS distance_km,
+       new_construction_km, existing_road_km, utilization_percent, cost_savings_percent,
+       round(round((new_construction_km * 35000 + existing_road_km * 5000) * (1 + terrain_risk / 100)
+             + bridges_required * 25000, 2), 0) AS estimated_cost,
+       round_even(km * 15 * (1 + terrain_risk / 300) + bridges_required * 30, 0)::BIGINT AS estimated_days,
+       elevation_gain_m, terrain_risk, flood_risk, seasonal_risk AS rainfall_risk, risk_score, bridges_required, settlements,
+       social_impact_score, {SURVEYED}
+FROM plan JOIN method USING (route_id, variant) WHERE routing_method = 'mathematical'
+UNION ALL
+SELECT route_id, variant, routing_method, variant, name, round(total_distance_km, 6), new_construction_km, existing_road_km,
+       utilization_percent, cost_savings_percent, round(estimated_cost, 0), trunc(total_distance_km * 2)::BIGINT,
+       elevation_gain_m, terrain, flood, rainfall_risk, trunc((terrain + flood + rainfall_risk) / 3)::INTEGER,
+       coalesce(bridges_required, 0), settlements, social_impact_score, {SURVEYED}
+FROM (SELECT r.*, routing_method, elevation_gain_m, bridges_required, settlements, social_impact_score, rainfall_risk,
+             e.* EXCLUDE (route_id, variant),
+             CASE r.variant WHEN 'safest' THEN greatest(20, t.terrain - 15) ELSE t.terrain END AS terrain,
+             CASE r.variant WHEN 'safest' THEN greatest(15, flood_base_risk - 15) ELSE flood_base_risk END AS flood
+      FROM road_stats r JOIN method USING (route_id, variant) JOIN terrain_raw t USING (route_id, variant)
+      JOIN site USING (route_id) LEFT JOIN bridge_count USING (route_id, variant) JOIN social USING (route_id, variant)
+      JOIN earthwork e USING (route_id, variant))""", wp=ANY_WP, curve_wp=CURVE_WP, road_wp=O.WHOLE_WP,
+    method=(["ends", "reach", "sample_network"], ROUTING, "method AS MATERIALIZED"), road_stats=ROAD_STATS)
 SQL["simplified_rivers"] = with_ctes("river_vertex", f"""
 SELECT * FROM (WITH RECURSIVE span(line_id, lo, hi) AS (
   SELECT river_id, min(seq), max(seq) FROM river_vertex GROUP BY river_id

@@ -119,7 +119,12 @@ def thin_points(points: DataFrame, *order: str) -> DataFrame:
     return kept.withColumn("seq", F.row_number().over(window) - 1).drop("at", "n")
 
 
+def number_points(points: DataFrame, *order: str) -> DataFrame:
+    """All points of a route, numbered by ``seq``."""
+    return points.withColumn("seq", F.row_number().over(W.partitionBy(*KEY).orderBy(*order)) - 1)
+
+
 def waypoint_arrays(points: DataFrame) -> DataFrame:
-    """Gather at most 25 points per route back into an array with modelled elevations."""
+    """Gather the points of each route back into an array with modelled elevations."""
     point = F.struct("seq", "lat", "lon", elevation_proxy(F.col("lat"), F.col("lon")).alias("elevation"))
     return points.groupBy(*KEY).agg(F.array_sort(F.collect_list(point)).alias("waypoints"))

@@ -14,7 +14,9 @@ from roadplan.operators import network as N
 from roadplan.operators import paths as P
 from roadplan.operators.crossings import crossing_counts, estimate_count
 from roadplan.operators.places import settlements_near, social_impact, tourism_near
-from roadplan.operators.polyline import KEY, collapse_repeats, elevations, thin_points, waypoint_arrays
+from roadplan.operators.polyline import (
+    KEY, collapse_repeats, elevations, number_points, thin_points, waypoint_arrays,
+)
 from roadplan.operators.spatial import PLANAR_M, Targets, attach_nearest, checkpointed, split_hot_cells
 from roadplan.operators.survey import earthwork
 from roadplan.operators.utilization import road_utilization
@@ -119,25 +121,27 @@ def find_routes(
     return NetworkRoutes(route_status(snapped, reached, table.open_searches), costs, segments, path_waypoints(segments))
 
 
-def path_waypoints(segments: DataFrame) -> DataFrame:
-    """Both ends of every segment in path order, repeats dropped, thinned to 25, as arrays."""
+def path_waypoints(segments: DataFrame, thin: bool = True) -> DataFrame:
+    """Both ends of every segment in path order, repeats dropped, as arrays; thinned to 25 unless told otherwise."""
     ends = F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.col("lat1").alias("lat"), F.col("lon1").alias("lon")),
         F.struct(F.lit(1).alias("side"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon")),
     ))
     points = segments.select(*KEY, "hop", "rank", ends)
     order = ["hop", "rank", "side"]
-    return waypoint_arrays(thin_points(collapse_repeats(points, *order), *order))
+    points = collapse_repeats(points, *order)
+    return waypoint_arrays(thin_points(points, *order) if thin else number_points(points, *order))
 
 
 def enrich(
     routes: DataFrame, requests: DataFrame, river_vertices: DataFrame, river_segments: DataFrame,
     settlements: DataFrame, tourism: DataFrame, rainfall: DataFrame | None = None,
+    survey: list[str] = ["total_waypoints", "total_cut_m3", "total_fill_m3", "balance_status"],
 ) -> DataFrame:
     """Scores, counts and earthwork for routes that already have waypoints, length, stats and cost.
 
     ``routes`` has the route key, ``waypoints``, ``total_distance_km``, ``estimated_cost`` and any other columns,
-    which are kept. Risks are taken at the request's midpoint.
+    which are kept. Risks are taken at the request's midpoint. ``survey`` names the earthwork columns to keep.
     """
     c = F.col
     shape = routes.select(*KEY, "waypoints")
@@ -166,8 +170,7 @@ def enrich(
         R.overall_risk(c("terrain_risk"), c("flood_risk"), c("rainfall_risk")).alias("risk_score"),
         "bridges_required", F.coalesce("settlements", zero).alias("settlements"),
         F.coalesce("social_impact_score", zero).alias("social_impact_score"),
-        c("road_utilization.utilization_percent").alias("corridor_percent"),
-        "total_waypoints", "total_cut_m3", "total_fill_m3", "balance_status",
+        c("road_utilization.utilization_percent").alias("corridor_percent"), *survey,
     )
 
 

@@ -17,14 +17,15 @@ from roadplan.operators import network as N
 from roadplan.operators import places as P
 from roadplan.operators import survey as S
 from roadplan.operators.polyline import KEY, elevations, explode_waypoints, keep_when_thinned
-from roadplan.operators.utilization import road_utilization
+from roadplan.operators.utilization import corridor_utilization, road_utilization
 from roadplan.operators.spatial import checkpointed
 from roadplan.operators.simplify import simplify_lines
 from roadplan.plans import curve
 from roadplan.plans import fallback as B
 from roadplan.plans import network_routes as G
+from roadplan.plans.pipeline import Surroundings, plan_routes
 from roadplan.sinks import documents as D
-from roadplan.sources import files, requests as intake
+from roadplan.sources import defaults, files, requests as intake
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -146,6 +147,12 @@ def road_utilization_(spark, sf):
 QUERIES["road_utilization"] = QUERIES.pop("road_utilization_")
 
 
+@query
+def corridor_table(spark, sf):
+    """Road utilization against the table of major routes."""
+    return corridor_utilization(routes(spark, sf), defaults.major_routes(spark))
+
+
 @query
 def survey_points(spark, sf):
     return S.head_stations(routes(spark, sf), 10)
@@ -395,6 +402,16 @@ def routing_method(spark, sf):
     return routes.select(*KEY, "routing_method")
 
 
+@query
+def planned_routes(spark, sf):
+    """Network, hybrid and curve routes of all requests with the same columns."""
+    around = Surroundings(
+        X.river_vertices(spark, sf), X.settlements(spark, sf), X.tourism(spark, sf), X.rainfall(spark, sf))
+    plans = plan_routes(spread_requests(spark, sf), *network(spark, sf), around)
+    return plans.withColumns({
+        "distance_km": round_places(c("distance_km"), 6), "estimated_cost": round_places(c("estimated_cost"), 0)})
+
+
 @query
 def thinned_rivers(spark, sf):
     """River lines thinned to 25 vertices. The vertex number is known, so only the counts are aggregated."""
