@@ -267,6 +267,24 @@ SELECT route_id, start_lat + 0.5::DOUBLE BETWEEN 28.5::DOUBLE AND 31.6::DOUBLE
 SQL["rainfall_lines"] = """
 SELECT CASE r_name WHEN 'MIDDLE EAST' THEN r_name ELSE r_name[1] || lower(r_name[2:]) END AS district,
        (900 + 300 * r_regionkey)::DOUBLE AS annual_mm FROM region WHERE r_regionkey % 2 = 1"""
+SQL["river_features"] = with_ctes("river_vertex", """
+SELECT name, 'river' AS waterway, (row_number() OVER (PARTITION BY river_id ORDER BY seq) - 1)::INTEGER AS seq, lat, lon
+FROM river_vertex""")
+SQL["settlement_features"] = with_ctes("settlement", "SELECT name, place, lat, lon, population FROM settlement")
+SQL["osm_ways"] = with_ctes("way vertex", """
+SELECT way_id, pos, ref, lat, lon, highway_type AS highway, raw_surface AS surface, raw_name AS name
+FROM vertex JOIN way USING (way_id)""")
+SQL["network_snapshot"] = with_ctes("edge network_node major_way", """
+SELECT highway_type, count(*) AS edges, round(sum(distance_m), 1) AS distance_m,
+       (SELECT count(*) FROM major_way) AS total_roads_parsed, (SELECT count(*) FROM network_node) AS total_nodes,
+       (SELECT count(*) FROM edge) AS total_edges,
+       (SELECT count(*) FILTER (raw_name IS NULL) + count(*) FILTER (raw_surface IS NULL) FROM major_way)
+       AS data_quality_issues, true AS valid FROM edge GROUP BY highway_type""")
+SQL["streamed_requests"] = with_ctes("request variant", """
+SELECT route_id, variant, k::INTEGER AS waypoints, NULL AS reason FROM request, variant
+WHERE route_id % 11 <> 0 AND route_id % 13 <> 0
+UNION ALL SELECT route_id, NULL, NULL, CASE WHEN route_id % 11 = 0 THEN 'not JSON' ELSE 'outside the permitted area' END
+FROM request WHERE route_id % 11 = 0 OR route_id % 13 = 0""")
 SQL["response_sizes"] = with_ctes("wp crossing near_settlement near_tourism", """
 SELECT w.route_id, w.variant, 'route-1' AS recommended, least(10, w.n)::INTEGER AS waypoints,
        least(5, c.n)::INTEGER AS river_crossings, least(10, coalesce(s.n, 0))::INTEGER AS nearby_settlements,

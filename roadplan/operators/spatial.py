@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadplan.functions.geometry import (
@@ -312,6 +312,12 @@ def crossing_pairs(segments: DataFrame, rivers: DataFrame, size: float = 0.05, h
     )
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A path in the shared checkpoint folder that nothing has been written to."""
+    set_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows to the shared checkpoint folder and go on from there.
 
@@ -319,7 +325,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     grow with every round of a loop, and gives the next round true sizes to plan with.
     """
     spark = df.sparkSession
-    set_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -18,14 +18,16 @@ from roadplan.operators import places as P
 from roadplan.operators import survey as S
 from roadplan.operators.polyline import KEY, elevations, explode_waypoints, keep_when_thinned
 from roadplan.operators.utilization import corridor_utilization, road_utilization
-from roadplan.operators.spatial import checkpointed
+from roadplan.operators.spatial import checkpointed, fresh_folder
 from roadplan.operators.simplify import simplify_lines
 from roadplan.plans import curve
 from roadplan.plans import fallback as B
 from roadplan.plans import network_routes as G
 from roadplan.plans.pipeline import Surroundings, plan_routes
 from roadplan.sinks import documents as D
+from roadplan.sinks import snapshot
 from roadplan.sources import defaults, files, requests as intake
+from roadplan.streaming.requests import request_stream, start_planning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -540,6 +542,80 @@ def rainfall_lines(spark, sf):
     return files.rainfall_lines(lines, ["Africa", "America", "Asia", "Europe", "MIDDLE EAST"])
 
 
+def feature_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Rivers and settlements written as GeoJSON features, one per line, and read back."""
+    pair = lambda: F.array("lon", "lat")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("seq", pair().alias("at")))), lambda x: x["at"])
+    feature = lambda kind, at, *properties: F.to_json(F.struct(
+        F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"),
+        F.struct(*properties).alias("properties"))).alias("value")
+    drawn = X.river_vertices(spark, sf).groupBy("river_id", "name").agg(line.alias("line"))
+    lines = drawn.select(feature("LineString", c("line"), "name", F.lit("river").alias("waterway"))).unionByName(
+        X.settlements(spark, sf).select(feature("Point", pair(), "name", "place", "population")))
+    path = fresh_folder(spark)
+    lines.write.text(path)
+    return files.read_features(spark, path, one_per_line=True)
+
+
+@query
+def river_features(spark, sf):
+    return files.line_vertices(feature_file(spark, sf)).drop("river_id")
+
+
+@query
+def settlement_features(spark, sf):
+    return files.point_places(feature_file(spark, sf)).drop("feature_seq")
+
+
+@query
+def osm_ways(spark, sf):
+    """Ways and nodes written as OSM XML and read back, as way vertices with their tags."""
+    path = fresh_folder(spark)
+    nodes = X.nodes(spark, sf).select(
+        c("node_id").alias("_id"), c("lat").alias("_lat"), c("lon").alias("_lon"), F.lit("yes").alias("visible"))
+    nodes.write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(f"{path}/nodes")
+    refs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: F.struct(x["ref"].alias("_ref")))
+    tags = F.transform(F.map_entries("tags"), lambda x: F.struct(x["key"].alias("_k"), x["value"].alias("_v")))
+    ways = X.way_refs(spark, sf).groupBy("way_id").agg(refs.alias("nd")).join(X.ways(spark, sf), "way_id").select(
+        c("way_id").alias("_id"), "nd", tags.alias("tag"))
+    ways.write.format("xml").option("rootTag", "osm").option("rowTag", "way").save(f"{path}/ways")
+    tagged, members, located = files.read_osm_ways(spark, f"{path}/*")
+    return members.join(tagged, "way_id").join(located, c("ref") == c("node_id")).select(
+        "way_id", "pos", "ref", "lat", "lon", *[c("tags")[k].alias(k) for k in ("highway", "surface", "name")])
+
+
+@query
+def network_snapshot(spark, sf):
+    """The network written as a snapshot and read back: edges and metres by class, with the metadata."""
+    path, source = fresh_folder(spark), f"{sf}/orders.parquet"
+    nodes, roads = network(spark, sf)
+    snapshot.write_snapshot(nodes, roads, network_stats(spark, sf), path, source, BBOX)
+    nodes, roads, metadata = snapshot.read_snapshot(spark, path)
+    classes = roads.groupBy("highway_type").agg(
+        F.count("*").alias("edges"), round_places(F.sum("distance_m"), 1).alias("distance_m"))
+    return classes.join(metadata, F.array_contains("highway_types", c("highway_type"))).select(
+        "highway_type", "edges", "distance_m", "total_roads_parsed", "total_nodes", "total_edges",
+        "data_quality_issues", F.lit(snapshot.is_valid(metadata, source)).alias("valid"))
+
+
+@query
+def streamed_requests(spark, sf):
+    """Requests as a stream of JSON files, some unusable or outside the area: waypoints per route, or why it has none."""
+    path, key = fresh_folder(spark), c("route_id")
+    end = lambda side, lat: F.struct(lat.alias("lat"), c(f"{side}_lon").alias("lon")).alias(side)
+    moved = F.when(key % 13 == 0, c("start_lat") + 3.5).otherwise(c("start_lat"))
+    good = F.to_json(F.struct(end("start", moved), end("end", c("end_lat")), "context"))
+    event = F.when(key % 11 == 0, F.lit("not JSON")).otherwise(good)
+    X.requests(spark, sf).select("route_id", event.alias("event")).write.json(f"{path}/in")
+    plan = lambda batch: curve.curve_routes(batch).select(*KEY, F.size("waypoints").alias("waypoints"))
+    start_planning(
+        request_stream(spark, f"{path}/in"), plan, f"{path}/out", f"{path}/progress", availableNow=True,
+    ).awaitTermination()
+    plans, rejects = spark.read.parquet(f"{path}/out/plans"), spark.read.parquet(f"{path}/out/rejects")
+    return plans.select(*KEY, "waypoints", F.lit(None).cast("string").alias("reason")).unionByName(
+        rejects.select("route_id", "reason"), allowMissingColumns=True)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     r, river = routes(spark, sf), X.river_vertices(spark, sf)
     segments = K.river_segments(river)
