@@ -285,6 +285,25 @@ SELECT route_id, variant, k::INTEGER AS waypoints, NULL AS reason FROM request,
 WHERE route_id % 11 <> 0 AND route_id % 13 <> 0
 UNION ALL SELECT route_id, NULL, NULL, CASE WHEN route_id % 11 = 0 THEN 'not JSON' ELSE 'outside the permitted area' END
 FROM request WHERE route_id % 11 = 0 OR route_id % 13 = 0""")
+SQL["response_fields"] = f"""
+WITH plans AS ({SQL["route_plan"]}), texts AS ({SQL["field_instructions"]}),
+near AS ({SQL["settlements_near"]}), spots AS ({SQL["tourism_near"]}), bridge AS ({SQL["river_crossings"]})
+SELECT p.route_id, 'mathematical' AS routing_method, p.id, p.name, p.description, p.priority, p.distance_km,
+       p.estimated_cost AS estimated_cost_usd, p.elevation_gain_m, p.construction_difficulty, p.estimated_days, p.risk_score,
+       p.bridges_required, p.social_impact_score, p.terrain_risk, p.flood_risk, p.seasonal_risk, p.existing_road_km,
+       p.new_construction_km, p.utilization_percent, p.total_waypoints, p.total_length_m, p.max_gradient_percent,
+       p.avg_gradient_percent, p.total_cut_m3, p.total_fill_m3, p.balance_status, 5.5::DOUBLE AS road_width_m,
+       t.earthwork AS earthwork_text, t.surveying, t.leveling, t.gradient_control,
+       'DEM,Rainfall,Rivers,Settlements,Tourism,Roads' AS sources_text, coalesce(s.n, '') AS settlements_text,
+       coalesce(v.n, '') AS tourism_text, coalesce(b.n, '') AS rivers_text
+FROM plans p JOIN texts t USING (route_id, variant)
+LEFT JOIN (SELECT route_id, variant, string_agg(name || '|' || coalesce(population::VARCHAR, 'Unknown'), ';' ORDER BY rank)
+                  AS n FROM near WHERE rank <= 10 GROUP BY ALL) s USING (route_id, variant)
+LEFT JOIN (SELECT route_id, variant, string_agg(name || '|' || score, ';' ORDER BY rank) AS n FROM spots GROUP BY ALL) v
+     USING (route_id, variant)
+LEFT JOIN (SELECT route_id, variant, string_agg(river_name, ';' ORDER BY seg, river_id) AS n
+           FROM (SELECT *, row_number() OVER (PARTITION BY route_id, variant ORDER BY seg, river_id) AS nth FROM bridge)
+           WHERE nth <= 5 GROUP BY ALL) b USING (route_id, variant)"""
 SQL["response_sizes"] = with_ctes("wp crossing near_settlement near_tourism", """
 SELECT w.route_id, w.variant, 'route-1' AS recommended, least(10, w.n)::INTEGER AS waypoints,
        least(5, c.n)::INTEGER AS river_crossings, least(10, coalesce(s.n, 0))::INTEGER AS nearby_settlements,

@@ -629,6 +629,47 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["response_documents"] = documents
 
 
+RESPONSE_ROUTE = """struct<
+id: string, name: string, description: string, priority: string, distance_km: double, estimated_cost_usd: double,
+elevation_gain_m: int, construction_difficulty: int, estimated_days: bigint, risk_score: int, bridges_required: bigint,
+risk_factors: struct<terrain_risk: int, flood_risk: int, seasonal_risk: int>, social_impact_score: bigint,
+road_utilization: struct<existing_road_km: double, new_construction_km: double, utilization_percent: double>,
+construction_data: struct<
+    total_waypoints: bigint, total_length_m: int, max_gradient_percent: double, avg_gradient_percent: double,
+    earthwork: struct<total_cut_m3: bigint, total_fill_m3: bigint, balance_status: string, road_width_m: double>,
+    field_instructions: struct<surveying: string, leveling: string, earthwork: string, gradient_control: string>>,
+nearby_settlements: array<struct<name: string, population: string, distance_from_route_km: double>>,
+tourism_spots: array<struct<name: string, tourism_score: int, distance_from_route_km: double>>,
+river_crossings: array<struct<river_name: string, lat: double, lon: double>>,
+data_sources_used: array<string>>"""
+
+
+@query
+def response_fields(spark, sf):
+    """What the response documents say of each route, lists as texts."""
+    shape = f"recommended_route_id string, metadata struct<routing_method: string>, routes array<{RESPONSE_ROUTE}>"
+    read = documents(spark, sf).select("route_id", F.from_json("document", shape).alias("d"))
+    rows = read.select("route_id", "d.metadata.routing_method", F.explode("d.routes").alias("r"))
+    joined = lambda name, *parts: F.array_join(F.transform(f"r.{name}", lambda x: F.concat_ws(
+        "|", *[x[p] for p in parts])), ";").alias(name)
+    whole = rows.select(
+        "route_id", "routing_method", "r.*", joined("nearby_settlements", "name", "population").alias("settlements_text"),
+        joined("tourism_spots", "name", "tourism_score").alias("tourism_text"),
+        joined("river_crossings", "river_name").alias("rivers_text"),
+        F.array_join("r.data_sources_used", ",").alias("sources_text"),
+    )
+    return whole.select(
+        *[x for x in whole.columns if x not in (
+            "risk_factors", "road_utilization", "construction_data", "nearby_settlements", "tourism_spots",
+            "river_crossings", "data_sources_used")],
+        "risk_factors.*", "road_utilization.*", "construction_data.total_waypoints", "construction_data.total_length_m",
+        "construction_data.max_gradient_percent", "construction_data.avg_gradient_percent",
+        "construction_data.earthwork.*", c("construction_data.field_instructions.earthwork").alias("earthwork_text"),
+        "construction_data.field_instructions.surveying", "construction_data.field_instructions.leveling",
+        "construction_data.field_instructions.gradient_control",
+    )
+
+
 @query
 def response_sizes(spark, sf):
     """List lengths of both routes in every response document."""

@@ -7,12 +7,17 @@ from roadplan.functions import earthwork as E
 from roadplan.functions import text as T
 from roadplan.operators.places import head
 from roadplan.operators.polyline import KEY, VARIANT_ORDER
+from roadplan.operators.survey import instruction_texts
 
 # Line colour per criterion and the number of list entries a response keeps.
 LAYER_COLORS = {"shortest": "#3b82f6", "safest": "#10b981", "budget": "#f97316", "social": "#a855f7"}
 KEEP = {"survey_points": 10, "waypoints": 10, "river_crossings": 5, "nearby_settlements": 10, "tourism_spots": 3}
 CREATOR = "roadplan"
 
+# The kinds of data a route names, and the population text where none is known.
+DATA_SOURCES = ["DEM", "Rainfall", "Rivers", "Settlements", "Tourism", "Roads"]
+UNKNOWN = "Unknown"
+
 # The texts around the coordinates in KML and GPX.
 KML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>
 <kml xmlns="http://www.opengis.net/kml/2.2">
@@ -202,10 +207,13 @@ def response_documents(
         routes.select(*KEY, F.slice("waypoints", 1, KEEP["waypoints"]).alias("waypoints")),
         trimmed(crossings, "river_crossings", ["seg", "river_id"], KEEP["river_crossings"],
                 ["lat", "lon", "river_name", "bridge_required", "estimated_span_m"]),
-        trimmed(settlements, "nearby_settlements", ["distance_from_route_km", "wp_seq", "feature_seq"],
+        trimmed(settlements.withColumn("population", F.coalesce(c("population").cast("string"), F.lit(UNKNOWN))),
+                "nearby_settlements", ["distance_from_route_km", "wp_seq", "feature_seq"],
                 KEEP["nearby_settlements"], ["name", "type", "lat", "lon", "distance_from_route_km", "population"]),
-        trimmed(tourism.withColumn("score_rank", -c("score")), "tourism_spots", ["score_rank", "wp_seq", "feature_seq"], KEEP["tourism_spots"],
-                ["name", "score", "lat", "lon", "distance_from_route_km"]),
+        trimmed(tourism.withColumn("score_rank", -c("score")).withColumnRenamed("score", "tourism_score"), "tourism_spots",
+                ["score_rank", "wp_seq", "feature_seq"], KEEP["tourism_spots"],
+                ["name", *[x for x in ("type", "description") if x in tourism.columns], "tourism_score", "lat", "lon",
+                 "distance_from_route_km"]),
         trimmed(stations.where(c("idx") < KEEP["survey_points"]), "detailed_waypoints", ["idx"],
                 KEEP["survey_points"], [x for x in stations.columns if x not in (*KEY, "idx")]),
     ]
@@ -232,8 +240,11 @@ def response_documents(
         F.struct(
             empty("detailed_waypoints"), c("total_waypoints"), c("total_length_m"), c("max_gradient_percent"),
             c("avg_gradient_percent"),
-            F.struct("total_cut_m3", "total_fill_m3", "balance_m3", "balance_status").alias("earthwork"),
+            F.struct("total_cut_m3", "total_fill_m3", "balance_m3", "balance_status",
+                     F.lit(E.ROAD_WIDTH_M).alias("road_width_m")).alias("earthwork"),
+            F.struct(*instruction_texts()).alias("field_instructions"),
         ).alias("construction_data"),
+        F.array(*[F.lit(x) for x in DATA_SOURCES]).alias("data_sources_used"),
     )
     order = F.create_map(*[F.lit(x) for pair in VARIANT_ORDER.items() for x in pair])[c("variant")]
     per_request = joined.groupBy("route_id").agg(
