@@ -1,4 +1,5 @@
 import heapq
+import json
 import random
 from collections import defaultdict
 
@@ -7,9 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from roadplan import fixtures as X
 from roadplan.operators import network as N
 from roadplan.operators import paths as P
 from roadplan.operators import polyline as L
+from roadplan.plans.pipeline import OUTSIDE, Surroundings, plan_events
 from roadplan.plans import fallback as B
 from roadplan.plans import network_routes as G
 
@@ -237,3 +240,24 @@ def test_social_edges(spark):
                                   "edge_id string, lat1 double, lon1 double, lat2 double, lon2 double")
     places = spark.createDataFrame([(0, 30.012, 78.001)], "feature_seq long, lat double, lon double")
     assert {r.edge_id: r.near_settlement for r in N.near_settlement(edges, places).collect()} == {"a": True, "b": False}
+
+
+def test_events_become_plans_or_rejects(spark, sf):
+    event = lambda lat1, lon1, lat2, lon2: json.dumps(
+        {"start": {"lat": lat1, "lon": lon1}, "end": {"lat": lat2, "lon": lon2}})
+    events = spark.createDataFrame([
+        (1, "ASIA", event(30.0, 78.0, 30.02, 78.02)), (2, None, event(30.3, 79.0, 30.3, 79.1)), (3, None, "no JSON"),
+        (4, None, event(20.0, 78.0, 30.0, 78.0)), (5, None, event(31.0, 80.5, 31.1, 80.9)),
+    ], "route_id long, district string, event string")
+    nodes = spark.createDataFrame(
+        [("a", 30.0, 78.0), ("b", 30.02, 78.02), ("c", 30.3, 79.05)], "node_id string, lat double, lon double")
+    edges = spark.createDataFrame(
+        [("e", "a", "b", 30.0, 78.0, 30.02, 78.02, 2940.0, "R", "primary", "paved", 2940.0, 2352.0)],
+        "edge_id string, source string, target string, lat1 double, lon1 double, lat2 double, lon2 double, distance_m double, "
+        "name string, highway_type string, surface string, shortest double, safest double")
+    around = Surroundings(X.river_vertices(spark, sf), X.settlements(spark, sf), X.tourism(spark, sf), X.rainfall(spark, sf))
+    plans, rejects = plan_events(events, nodes, edges, around)
+    methods = {1: "osm_network", 2: "hybrid", 5: "mathematical"}
+    assert sorted((r.route_id, r.variant, r.routing_method) for r in plans.collect()) == sorted(
+        (i, v, m) for i, m in methods.items() for v in ("shortest", "safest"))
+    assert {r.route_id: r.reason for r in rejects.collect()} == {3: "not JSON", 4: OUTSIDE}
