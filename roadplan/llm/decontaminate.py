@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from roadplan.operators.spatial import checkpointed
 
-#: Two masks of eight words within twelve, and one for items too short for them.
-MASKS = ("111010110011", "110011011101")
+#: Three masks of six words, one of which hits every pattern of 3 unequal words in 15 (so also of 2 in 14) and of 2 in 12
+#: (so also in 13): each overlap as defined has a seed. Another mask is for items too short for them.
+MASKS = ("11101011", "1100100111", "110100000111")
 SHORT_MASK = "11111111"
+#: Items of fewer words get the seeds of the short mask too.
+SHORT = 12
 WINDOW, MATCH = 15, 0.8
 #: Up to so many benchmark seeds (about 24 bytes each) or hits are sent to all tasks; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -48,13 +51,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     items = benchmark.select("item_id", word_array(F.col("text")).alias("item_words"))
     items = items.where((F.size("item_words") >= len(SHORT_MASK)) & F.col("item_id").isNotNull())
-    short = items.where(F.size("item_words") < len(MASKS[0])).limit(1).count() > 0
+    short = items.where(F.size("item_words") < SHORT).limit(1).count() > 0
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     words = rows.select("id", word_array(F.col("text")).alias("words"))
 
     item_seeds = [items.select("item_id", F.posexplode(seeds(F.col("item_words"), m)).alias("item_at", "seed")) for m in MASKS]
     if short:
-        brief = items.where(F.size("item_words") < len(MASKS[0]))
+        brief = items.where(F.size("item_words") < SHORT)
         item_seeds.append(brief.select(
             "item_id", F.posexplode(seeds(F.col("item_words"), SHORT_MASK)).alias("item_at", "seed")))
     known = item_seeds[0]
