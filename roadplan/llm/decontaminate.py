@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from roadplan.operators.spatial import checkpointed
 
 #: Three masks of six words, one of which hits every pattern of 3 unequal words in 15 (so also of 2 in 14) and of 2 in 12
-#: (so also in 13): each overlap as defined has a seed. Another mask is for items too short for them.
-MASKS = ("11101011", "1100100111", "110100000111")
-SHORT_MASK = "11111111"
-#: Items of fewer words get the seeds of the short mask too.
-SHORT = 12
+#: (so also in 13): each overlap as defined has a seed.
+LONG_MASKS = ("11101011", "1100100111", "110100000111")
+#: The same for items of fewer than ``SHORT`` words: 2 unequal words in 10 or 11, 1 in 8 or 9.
+SHORT_MASKS = ("110111", "11001011", "110100011")
+MASKS = LONG_MASKS + SHORT_MASKS
+SHORT, LEAST = 12, 8
 WINDOW, MATCH = 15, 0.8
 #: Up to so many benchmark seeds (about 24 bytes each) or hits are sent to all tasks; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -41,30 +42,34 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", brief: bool = False,
+) -> DataFrame:
     """(id_col, item_id, n_matched, window, doc_start, item_start), the best overlap of each document and item.
 
     Best: the most equal words within a window, then the least start in the document, then in the item. Items of
-    fewer words than the short mask can't be told from chance and take no part; null, empty and shorter documents
-    overlap nothing. Rows that share an id count as one document; a null id takes no part. Other columns aren't
+    fewer than ``LEAST`` words take part with ``brief`` only, and only whole and word for word; items without words
+    never do. Null, empty and shorter documents overlap nothing. Rows that share an id count as one document; a null id takes no part. Other columns aren't
     read. An empty table on either side gives an empty table.
     """
-    items = benchmark.select("item_id", word_array(F.col("text")).alias("item_words"))
-    items = items.where((F.size("item_words") >= len(SHORT_MASK)) & F.col("item_id").isNotNull())
-    short = items.where(F.size("item_words") < SHORT).limit(1).count() > 0
+    every_item = benchmark.select("item_id", word_array(F.col("text")).alias("item_words")).where("item_id is not null")
+    items = every_item.where(F.size("item_words") >= LEAST)
+    sizes = {n for n, in every_item.select(F.least(F.size("item_words"), F.lit(SHORT))).distinct().collect()}
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     words = rows.select("id", word_array(F.col("text")).alias("words"))
-
-    item_seeds = [items.select("item_id", F.posexplode(seeds(F.col("item_words"), m)).alias("item_at", "seed")) for m in MASKS]
-    if short:
-        brief = items.where(F.size("item_words") < SHORT)
-        item_seeds.append(brief.select(
-            "item_id", F.posexplode(seeds(F.col("item_words"), SHORT_MASK)).alias("item_at", "seed")))
+    long, short = F.size("item_words") >= SHORT, F.size("item_words") < SHORT
+    kinds = [(m, long) for m in LONG_MASKS]
+    if any(LEAST <= n < SHORT for n in sizes):
+        kinds += [(m, short) for m in SHORT_MASKS]
+
+    item_seeds = [
+        items.where(kind).select("item_id", F.posexplode(seeds(F.col("item_words"), m)).alias("item_at", "seed"))
+        for m, kind in kinds]
     known = item_seeds[0]
     for more in item_seeds[1:]:
         known = known.unionByName(more)
     known_rows = known.count()
-    every = [seeds(F.col("words"), m) for m in (*MASKS, *[SHORT_MASK] * short)]
+    every = [seeds(F.col("words"), m) for m, _ in kinds]
     aligned = F.array(*[F.coalesce(s, F.array().cast("array<bigint>")) for s in every])
     dealt = words.select("id", F.explode(aligned).alias("seeds")).select("id", F.posexplode("seeds").alias("at", "seed"))
     hits = dealt.join(_small(known, known_rows), "seed").select(
@@ -87,15 +92,36 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         (-(F.col("low") + s + F.col("shift"))).alias("doc_at"), (-(F.col("low") + s)).alias("item_at")))
     best = flags.select("id", "item_id", "window", F.array_max(sums).alias("b")).where(
         F.col("b.n_matched") >= F.ceil(F.col("window") * MATCH))
-    return best.groupBy("id", "item_id").agg(
+    found = best.groupBy("id", "item_id").agg(
         F.max("b").alias("b"), F.first("window").alias("window"),
     ).select(
-        F.col("id").alias(id_col), "item_id", "b.n_matched", "window",
+        "id", "item_id", "b.n_matched", "window",
         (-F.col("b.doc_at")).alias("doc_start"), (-F.col("b.item_at")).alias("item_start"),
     )
+    if brief and any(0 < n < LEAST for n in sizes):
+        found = found.unionByName(_brief_copies(words, every_item, sorted(n for n in sizes if 0 < n < LEAST)))
+    return found.withColumnRenamed("id", id_col)
+
+
+def _brief_copies(words: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """First place of each document at which an item of one of ``sizes`` stands whole."""
+    def runs(of: str, n: int) -> Column:
+        found = F.transform(seeds(F.col(of), "1" * n), lambda seed, at: F.struct(
+            seed.alias("seed"), at.alias("at"), F.lit(n).alias("n")))
+        return F.coalesce(found, F.array().cast("array<struct<seed:bigint,at:int,n:int>>"))
+
+    def all_runs(of: str) -> Column:
+        return F.explode(F.flatten(F.array(*[runs(of, n) for n in sizes]))).alias("run")
+
+    whole = items.where(F.size("item_words").between(1, LEAST - 1)).select("item_id", "item_words", all_runs("item_words")).where(
+        F.col("run.n") == F.size("item_words")).select("item_id", "run.seed", "run.n")
+    dealt = words.select("id", all_runs("words")).select("id", "run.seed", "run.n", "run.at")
+    copies = dealt.join(_small(whole, whole.count()), ["seed", "n"])
+    return copies.groupBy("id", "item_id").agg(F.max("n").alias("n_matched"), F.min("at").alias("doc_start")).select(
+        "id", "item_id", "n_matched", F.col("n_matched").alias("window"), "doc_start", F.lit(0).alias("item_start"))
 
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, brief: bool = False) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
-    gone = overlaps(docs, benchmark).select("doc_id").distinct()
+    gone = overlaps(docs, benchmark, brief=brief).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

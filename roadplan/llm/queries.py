@@ -65,7 +65,7 @@ def op5_quality_classifier(spark, sf_dir):
 
 @query
 def op6_benchmark_decontamination(spark, sf_dir):
-    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), brief=True)
 
 
 @query

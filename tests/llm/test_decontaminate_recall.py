@@ -14,10 +14,11 @@ def lost(masks, size, unequal):
     return [p for p in itertools.combinations(range(size), unequal) if not any(s.isdisjoint(p) for s in seeds)]
 
 
-@pytest.mark.parametrize("size, unequal", [(12, 2), (13, 2), (14, 2), (15, 3)])
+@pytest.mark.parametrize("size, unequal", [(8, 1), (9, 1), (10, 2), (11, 2), (12, 2), (13, 2), (14, 2), (15, 3)])
 def test_masks_hit_every_permitted_pattern(size, unequal):
     assert size - unequal == -(-size * 4 // 5)
-    assert lost(decontaminate.MASKS, size, unequal) == []
+    masks = decontaminate.SHORT_MASKS if size < decontaminate.SHORT else decontaminate.LONG_MASKS
+    assert lost(masks, size, unequal) == []
 
 
 def every_window(rows, items):
@@ -59,3 +60,19 @@ def test_items_of_twelve_and_more_words_equal_all_windows(spark):
     rows, items = substituted([12, 13, 14, 15, 20], 1)
     want = every_window(rows, items)
     assert len(want) == len(rows) and found(spark, rows, items) == want
+
+
+def test_items_of_eight_to_eleven_words_equal_all_windows(spark):
+    rows, items = substituted([8, 9, 10, 11], 2)
+    want = every_window(rows, items)
+    assert len(want) == len(rows) and found(spark, rows, items) == want
+
+
+def test_items_under_eight_words_are_found_whole(spark):
+    items = [(1, "one"), (2, "two words"), (3, "a b c d e f g"), (4, ""), (5, " ".join(f"l{k}" for k in range(20)))]
+    rows = [(1, "no such thing"), (2, "One, two words; two words"), (3, "a b c d e x g"), (4, "z a b c d e f g one"),
+            (5, ""), (6, items[4][1] + " one")]
+    want = {(2, 1): (1, 1, 0, 0), (2, 2): (2, 2, 1, 0), (4, 1): (1, 1, 8, 0), (4, 3): (7, 7, 1, 0),
+            (6, 1): (1, 1, 20, 0), (6, 5): (15, 15, 0, 0)}
+    assert found(spark, rows, items, brief=True) == want
+    assert found(spark, rows, items[:3], brief=True) == {k: v for k, v in want.items() if k[1] < 4}
