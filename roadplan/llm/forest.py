@@ -1,10 +1,11 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
-
-1. Each text becomes its set of five-word shingles and, per tree, a path of min-hashes. Texts with the same set are one
-   entry from here on.
-2. A tree is the sorted list of its paths, so entries below one trie node share a prefix of their paths. Prefixes are
-   shortened from ``MAX_DEPTH`` until pairs at the threshold meet in some tree with the target recall. Each entry is
-   linked to the least entry below its node (a star, never all pairs), and components of these links are formed.
+"""N-gram Jaccard join with MinHash banding, the fixed-depth form of an LSH forest.
+
+1. Each text becomes its set of five-word shingles and, per tree, one hash of ``depth`` min-hashes. Texts with the same
+   set are one entry from here on.
+2. ``depth`` is fixed before any data is read: the longest prefix, of at most ``MAX_DEPTH``, at which pairs at the threshold
+   meet in some tree with the target recall. Entries that share a tree's hash, a node at this depth, are linked to the least of
+   them (a star, never all pairs), and components of these links are formed. There are no sorted tries and no prefixes
+   per entry: these serve a search for the nearest few, whereas a join at one threshold needs the same depth for all.
 3. Components are cut into blocks of bounded size, block pairs are compared exactly inside tasks, and only counts and a
    spanning forest of the verified links leave a task. A third of all texts may be near copies of each other.
 """
