@@ -1,12 +1,20 @@
 """Line dedup: drop every line that many documents hold.
 
 Lines are exploded as hashes, distinct documents are counted per hash, and the lines over the threshold are left out when
-a text is put together again. Texts move once, by document; a line that a third of all documents hold is a count that
-map tasks add up first, and the frequent keys go to all tasks while they are few, so such a line is no task's work.
+a text is put together again in the order of its lines. A line that a third of all documents hold is a count that
+map tasks add up first. The frequent hashes go to all tasks while they are few, and texts then never move; beyond that the
+hashes of documents and the frequent ones meet in a shuffle join, and each document gets its own list. Looking a line up is a
+search in a sorted array either way, so a text of many frequent lines costs no more than its length asks.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,31 +24,112 @@ MIN_DOCUMENTS = 10
 MIN_CHARS = 1
 #: Up to so many frequent keys (16 bytes each) are sent to all tasks; beyond, keys are shuffled and joined.
 BROADCAST_ROWS = 1_000_000
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def line_key(line: Column) -> Column:
-    """The line without white space at both ends, ASCII letters lower-cased."""
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, UPPER.lower())
-
-
-def _hashed(line: Column, min_chars: int) -> Column:
-    """128 bits for the key; null for keys that are too short to count."""
-    key = line_key(line)
-    both = F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"))
-    return F.when(F.length(key) >= min_chars, both)
-
-
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(id, a, b) for every document and frequent key in it."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    keys = F.array_distinct(F.transform(lines, lambda x: _hashed(x, min_chars)))
-    held = docs.select(F.col(id_col).alias("id"), F.explode(keys).alias("k")).where("k is not null")
-    held = held.select("id", "k.a", "k.b")
-    frequent = held.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    frequent = checkpointed(frequent.select("a", "b"))
-    return held.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_ROWS else frequent, ["a", "b"])
+BLANKS = b" \t\n\x0b\x0c\r"
+
+
+def line_key(line: bytes) -> bytes:
+    """The line without white space at both ends, ASCII letters lower-cased (only these are lower-cased in bytes)."""
+    return line.strip(BLANKS).lower()
+
+
+def _counts(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "replace")) >= min_chars)
+
+
+def hashes(keys: list[bytes]) -> np.ndarray:
+    """128 bits for each key, as two numbers."""
+    digests = b"".join(hashlib.blake2b(key, digest_size=16).digest() for key in keys)
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
+
+
+def _held(rows: DataFrame, min_chars: int) -> DataFrame:
+    """The columns of ``rows`` but the text, with ``a, b`` for every key in the text."""
+    names = [c for c in rows.columns if c != "text"]
+
+    def explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found, counts = [], []
+            for text in part.column("text").to_pylist():
+                keys = {line_key(line) for line in (text or "").encode().split(b"\n")}
+                keys = [key for key in keys if _counts(key, min_chars)]
+                found += keys
+                counts.append(len(keys))
+            both = hashes(found)
+            at = pa.array(np.repeat(np.arange(len(counts)), counts))
+            columns = [part.column(c).take(at) for c in names]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))],
+                [*names, "a", "b"])
+
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.mapInArrow(explode, f"{types}, a long, b long")
+
+
+def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b) of the keys that at least ``min_docs`` documents hold."""
+    held = _held(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), min_chars)
+    counted = held.distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    return checkpointed(counted.select("a", "b"))
+
+
+def _among(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each pair of numbers is one of ``a, b`` (ascending by a, then b)."""
+    at, last = np.searchsorted(a, both[:, 0], "left"), np.searchsorted(a, both[:, 0], "right")
+    found = np.zeros(len(both), bool)
+    while (open_ := at < last).any():
+        found[open_] |= b[at[open_]] == both[open_, 1]
+        at = at + 1
+    return found
+
+
+def _cleaned(texts: pd.Series, frequent, min_chars: int) -> pd.DataFrame:
+    """(text, n_lines, n_dropped); ``frequent`` gives the sorted numbers a, b for the place of a text."""
+    rows = []
+    for i, text in enumerate(texts):
+        lines = (text or "").encode().split(b"\n")
+        keys = [line_key(line) for line in lines]
+        gone = _among(hashes(keys), *frequent(i))
+        kept = [
+            line for line, key, drop in zip(lines, keys, gone.tolist(), strict=True)
+            if not (drop and _counts(key, min_chars))
+        ]
+        rows.append((b"\n".join(kept).decode() if len(kept) < len(lines) else text or "", len(lines), len(lines) - len(kept)))
+    return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
+
+
+def _sorted(a, b) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    order = np.lexsort((b, a))
+    return a[order], b[order]
+
+
+def _with_lines(docs: DataFrame, min_docs: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a column ``_lines`` of the text that stays and the two counts."""
+    result = "text string, n_lines long, n_dropped long"
+    frequent = frequent_keys(docs, min_docs, min_chars, id_col, text_col)
+    if frequent.count() <= BROADCAST_ROWS:
+        few = frequent.toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast(_sorted(few["a"], few["b"]))
+
+        @F.pandas_udf(result)
+        def clean(texts: pd.Series) -> pd.DataFrame:
+            return _cleaned(texts, lambda i: shared.value, min_chars)
+
+        return docs.withColumn("_lines", clean(F.col(text_col)))
+
+    @F.pandas_udf(result)
+    def clean_own(texts: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        return _cleaned(texts, lambda i: (none, none) if a[i] is None else _sorted(a[i], b[i]), min_chars)
+
+    key: list[Column] = [F.col(id_col), F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))]
+    texts = docs.select(*[k.alias(f"_lines_{i}") for i, k in enumerate(key)], F.col(text_col).alias("text"))
+    own = _held(texts, min_chars).distinct().join(frequent, ["a", "b"]).groupBy("_lines_0", "_lines_1", "_lines_2").agg(
+        F.collect_list(F.struct("a", "b")).alias("_lines_k"))
+    same = [k.eqNullSafe(F.col(f"_lines_{i}")) for i, k in enumerate(key)]
+    rows = docs.join(own, same[0] & same[1] & same[2], "left")
+    clean = clean_own(F.col(text_col), F.col("_lines_k.a"), F.col("_lines_k.b"))
+    return rows.withColumn("_lines", clean).drop("_lines_0", "_lines_1", "_lines_2", "_lines_k")
 
 
 def drop_frequent_lines(
@@ -53,23 +142,19 @@ def drop_frequent_lines(
     that share an id, a null id too, are one document when documents are counted; each row is returned. Columns named
     ``n_lines`` or ``n_dropped`` are replaced, all others are passed on. An empty table gives an empty table.
     """
-    found = frequent_lines(docs, id_col, text_col, min_docs, min_chars)
-    dropped = found.groupBy(F.col("id").alias("_lines_id")).agg(
-        F.collect_set(F.struct("a", "b")).alias("_lines_dropped"))
-    rows = docs.drop("n_lines", "n_dropped").join(
-        dropped, F.col(id_col).eqNullSafe(F.col("_lines_id")), "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(
-        F.array_contains(F.col("_lines_dropped"), _hashed(x, min_chars)), F.lit(False)))
-    rows = rows.withColumn("_lines_kept", F.when(F.col("_lines_dropped").isNull(), lines).otherwise(kept))
+    rows = _with_lines(docs.drop("n_lines", "n_dropped"), min_docs, min_chars, id_col, text_col)
     return rows.withColumns({
-        "n_lines": F.size(lines).cast("long"),
-        "n_dropped": (F.size(lines) - F.size("_lines_kept")).cast("long"),
-        text_col: F.array_join("_lines_kept", "\n"),
-    }).drop("_lines_id", "_lines_dropped", "_lines_kept")
+        "n_lines": F.col("_lines.n_lines"), "n_dropped": F.col("_lines.n_dropped"), text_col: F.col("_lines.text"),
+    }).drop("_lines")
+
+
+def without_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` with the text that stays; every other column, whatever its name, keeps its values."""
+    rows = _with_lines(docs, min_docs, min_chars, "doc_id", "text")
+    return rows.withColumn("text", F.col("_lines.text")).select(docs.columns)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Digest of the cleaned texts, one row per row of ``docs``."""
-    return drop_frequent_lines(docs.select("doc_id", "text")).select(
-        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    rows = _with_lines(docs.select("doc_id", "text"), MIN_DOCUMENTS, MIN_CHARS, "doc_id", "text")
+    return rows.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("_lines.text", 256).alias("kept_sha256"))

@@ -99,6 +99,40 @@ def test_lines_equal_plain_version(spark):
     assert lines.line_report(docs.limit(0)).collect() == []
 
 
+def test_more_frequent_keys_than_are_broadcast(spark, monkeypatch):
+    rows = [(i, f"Head\n own {i}\n\n  HEAD \t\nfoot\n{'x' * i}") for i in range(8)]
+    rows += [(8, None), (None, "head\nx"), (None, ""), (9, "head"), (9, "head"), ((1 << 60) + 1, "foot\ny"), ((1 << 60) + 3, "y")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _n int").repartition(3)
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    for min_docs in (2, 3, 9):
+        found = lines.drop_frequent_lines(docs, min_docs).select("doc_id", "text", "n_lines", "n_dropped")
+        assert sorted(map(tuple, found.collect()), key=str) == plain_lines(rows, min_docs)
+
+
+@pytest.mark.parametrize("most", [0, lines.BROADCAST_ROWS])
+def test_texts_of_many_frequent_lines(spark, monkeypatch, most):
+    """Twelve texts of 20,000 lines that all of them hold, and one line of their own."""
+    import time
+
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
+    shared = "\n".join(f"line {k}" for k in range(20_000))
+    docs = spark.createDataFrame([(i, f"{shared}\nown {i}\n{shared}") for i in range(12)], "doc_id long, text string")
+    start = time.time()
+    found = lines.drop_frequent_lines(docs.repartition(4)).collect()
+    assert time.time() - start < 60
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in found) == [
+        (i, f"own {i}", 40_001, 40_000) for i in range(12)]
+
+
+def test_other_columns_keep_their_values(spark):
+    docs = spark.createDataFrame(
+        [(i, f"head\nown {i}", f"n{i}", "d", None) for i in range(10)],
+        "doc_id long, text string, n_lines string, n_dropped string, a long")
+    found = lines.without_frequent_lines(docs)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == [(i, f"own {i}", f"n{i}", "d", None) for i in range(10)]
+
+
 def test_line_query_equals_sql(spark, sf):
     from roadplan.llm.queries import QUERIES, SQL
 
