@@ -14,7 +14,7 @@ def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that many documents hold; the other columns stay as they are, n_chars included."""
-    return lines.drop_frequent_lines(docs).select(docs.columns)
+    return lines.without_frequent_lines(docs)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
