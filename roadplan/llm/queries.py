@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from roadplan.llm import (
-    chat, decontaminate, forest, language, lines, neighbours, packing, passages, quality, token_counts,
+    chat, decontaminate, forest, language, lines, negatives, neighbours, packing, passages, quality, secrets,
+    token_counts, whitening,
 )
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: A tiktoken vocabulary, and the pattern that splits a text before its tokens are formed.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+SPLITS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,6 +95,21 @@ def op10_line_dedup(spark, sf_dir):
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_hard_negatives(spark, sf_dir):
+    return negatives.mining_report(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_secret_scans(spark, sf_dir):
+    return secrets.secret_report(table(spark, sf_dir, "documents"), RANKS, SPLITS)
+
+
+@query
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 SQL["op7_chat_formatting"] = r"""
 WITH turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -129,3 +148,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+SQL["op11_hard_negatives"] = r"""
+WITH entries AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, len(embedding) AS n
+    FROM (SELECT DISTINCT vec_id, label::BIGINT AS label, embedding FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL)
+), kept AS (
+    SELECT vec_id FROM entries GROUP BY vec_id
+    HAVING count(x) = any_value(n) AND bool_and(isfinite(x))
+), q AS (
+    SELECT vec_id, label, i, floor(256 * x)::BIGINT AS q FROM entries SEMI JOIN kept USING (vec_id)
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, sum(a.q * b.q)::BIGINT AS score
+    FROM q a JOIN q b ON a.i = b.i WHERE a.vec_id % 100 = 0 GROUP BY a.vec_id, b.vec_id, a.label, b.label
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND vec_id <> anchor_id
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND 100 * n.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
