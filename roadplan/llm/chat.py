@@ -399,16 +399,20 @@ class Digest:
 
 def _streamed(parts: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for part in parts:
-        keys = part["conv_id"]
+        keys = zip(part["none"], part["conv_id"], strict=True)
         yield from zip(
-            [None if pd.isna(k) else int(k) for k in keys], [r if isinstance(r, str) else "" for r in part["role"]],
+            [None if none else int(k) for none, k in keys], [r if isinstance(r, str) else "" for r in part["role"]],
             [t if isinstance(t, str) else "" for t in part["text"]], strict=True)
 
 
 def conversations_in_order(turns: DataFrame) -> DataFrame:
-    """Rows of a conversation side by side and in order; ties of turn go by role, then text, null turns first."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    """Rows of a conversation side by side and in order; ties of turn go by role, then text, null turns first.
+
+    A null id is 0 with ``none`` set, as a null among ids would turn them to floating point on their way to Python.
+    """
+    conv = F.col("conv_id").cast("long")
+    rows = turns.select(F.coalesce(conv, F.lit(0)).alias("conv_id"), conv.isNull().alias("none"), "turn", "role", "text")
+    return rows.repartition("none", "conv_id").sortWithinPartitions("none", "conv_id", "turn", "role", "text")
 
 
 def _conversations(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[dict]]]:
@@ -419,6 +423,11 @@ def _conversations(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[dic
         yield key, ({"role": role, "text": text} for _, role, text in group)
 
 
+def _ids(rows: list[tuple]) -> pd.Series:
+    """First values of the rows, as integers that may be null."""
+    return pd.Series([row[0] for row in rows], dtype="Int64")
+
+
 def formatted_parts(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
     """(conv_id, part, text, generated): the formatted conversations, in parts that join to the whole.
 
@@ -432,10 +441,10 @@ def formatted_parts(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFram
             for number, (text, generated) in enumerate(compiled.render(messages)):
                 rows.append((key, number, text, generated))
                 if len(rows) == 2_000:
-                    yield pd.DataFrame(rows, columns=["conv_id", "part", "text", "generated"]).astype({"conv_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=["conv_id", "part", "text", "generated"]).assign(conv_id=_ids(rows))
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=["conv_id", "part", "text", "generated"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["conv_id", "part", "text", "generated"]).assign(conv_id=_ids(rows))
 
     return conversations_in_order(turns).mapInPandas(render, "conv_id long, part long, text string, generated boolean")
 
@@ -461,10 +470,10 @@ def format_report(turns: DataFrame, template: str = CHAT_TEMPLATE) -> DataFrame:
                 found.add(text, generated)
             rows.append(found.row(key))
             if len(rows) == 5_000:
-                yield pd.DataFrame(rows, columns=DIGEST).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(rows, columns=DIGEST).assign(conv_id=_ids(rows))
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=DIGEST).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=DIGEST).assign(conv_id=_ids(rows))
 
     return conversations_in_order(turns).mapInPandas(
         digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

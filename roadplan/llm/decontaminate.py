@@ -43,13 +43,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def overlaps(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", brief: bool = False,
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """(id_col, item_id, n_matched, window, doc_start, item_start), the best overlap of each document and item.
 
     Best: the most equal words within a window, then the least start in the document, then in the item. Items of
-    fewer than ``LEAST`` words take part with ``brief`` only, and only whole and word for word; items without words
-    never do. Null, empty and shorter documents overlap nothing. Rows that share an id count as one document; a null id takes no part. Other columns aren't
+    fewer than ``LEAST`` words are held to the same share: one of five to seven words may be unequal, none of fewer. Items
+    without words overlap nothing. Null, empty and shorter documents overlap nothing. Rows that share an id count as one document; a null id takes no part. Other columns aren't
     read. An empty table on either side gives an empty table.
     """
     every_item = benchmark.select("item_id", word_array(F.col("text")).alias("item_words")).where("item_id is not null")
@@ -98,30 +98,46 @@ def overlaps(
         "id", "item_id", "b.n_matched", "window",
         (-F.col("b.doc_at")).alias("doc_start"), (-F.col("b.item_at")).alias("item_start"),
     )
-    if brief and any(0 < n < LEAST for n in sizes):
-        found = found.unionByName(_brief_copies(words, every_item, sorted(n for n in sizes if 0 < n < LEAST)))
+    if any(0 < n < LEAST for n in sizes):
+        found = found.unionByName(_brief_overlaps(words, every_item, sorted(n for n in sizes if 0 < n < LEAST)))
     return found.withColumnRenamed("id", id_col)
 
 
-def _brief_copies(words: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
-    """First place of each document at which an item of one of ``sizes`` stands whole."""
-    def runs(of: str, n: int) -> Column:
-        found = F.transform(seeds(F.col(of), "1" * n), lambda seed, at: F.struct(
-            seed.alias("seed"), at.alias("at"), F.lit(n).alias("n")))
-        return F.coalesce(found, F.array().cast("array<struct<seed:bigint,at:int,n:int>>"))
+def brief_masks(n: int) -> list[str]:
+    """Masks that hit every permitted pattern of unequal words in an item of ``n`` words, fewer than ``LEAST``."""
+    if -(-n * 4 // 5) == n:
+        return ["1" * n]
+    return ["1" * k + "0" + "1" * (n - k - 1) for k in range(n)]
 
-    def all_runs(of: str) -> Column:
-        return F.explode(F.flatten(F.array(*[runs(of, n) for n in sizes]))).alias("run")
-
-    whole = items.where(F.size("item_words").between(1, LEAST - 1)).select("item_id", "item_words", all_runs("item_words")).where(
-        F.col("run.n") == F.size("item_words")).select("item_id", "run.seed", "run.n")
-    dealt = words.select("id", all_runs("words")).select("id", "run.seed", "run.n", "run.at")
-    copies = dealt.join(_small(whole, whole.count()), ["seed", "n"])
-    return copies.groupBy("id", "item_id").agg(F.max("n").alias("n_matched"), F.min("at").alias("doc_start")).select(
-        "id", "item_id", "n_matched", F.col("n_matched").alias("window"), "doc_start", F.lit(0).alias("item_start"))
 
+def _brief_overlaps(words: DataFrame, items: DataFrame, sizes: list[int]) -> DataFrame:
+    """Best place of each document and item of one of ``sizes``; two masks that hit at one place have all words in common."""
+    masks = [m for n in sizes for m in brief_masks(n)]
 
-def without_overlaps(docs: DataFrame, benchmark: DataFrame, brief: bool = False) -> DataFrame:
+    def all_runs(of: str) -> Column:
+        runs = [F.coalesce(F.transform(seeds(F.col(of), m), lambda seed, at: F.struct(
+            seed.alias("seed"), at.alias("at"))), F.array().cast("array<struct<seed:bigint,at:int>>")) for m in masks]
+        return F.explode(F.flatten(F.array(*runs))).alias("run")
+
+    brief = items.where(F.size("item_words").between(1, LEAST - 1))
+    known = [brief.where(F.size("item_words") == len(m)).select(
+        "item_id", F.lit(len(m)).alias("n"), F.lit(m).alias("mask"), F.get(seeds(F.col("item_words"), m), 0).alias("seed"))
+        for m in masks]
+    whole = known[0]
+    for more in known[1:]:
+        whole = whole.unionByName(more)
+    dealt = words.select("id", all_runs("words")).select("id", "run.seed", "run.at")
+    hits = dealt.join(_small(whole, whole.count()), "seed").groupBy("id", "item_id", "n", "at").agg(
+        F.count_distinct("mask").alias("masks"))
+    allowed = F.ceil(F.col("n") * F.lit(MATCH)).cast("int")
+    matched = F.when(F.col("masks") > 1, F.col("n")).otherwise(allowed)
+    best = hits.groupBy("id", "item_id", "n").agg(F.max(F.struct(matched.alias("n_matched"), (-F.col("at")).alias("less"))).alias("b"))
+    return best.select(
+        "id", "item_id", "b.n_matched", F.col("n").alias("window"), (-F.col("b.less")).alias("doc_start"),
+        F.lit(0).alias("item_start"))
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that overlap a benchmark item."""
-    gone = overlaps(docs, benchmark, brief=brief).select("doc_id").distinct()
+    gone = overlaps(docs, benchmark).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")

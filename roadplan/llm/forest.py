@@ -130,13 +130,14 @@ def near_duplicates(
     """
     depth = forest_depth(threshold, recall, trees, MAX_DEPTH)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = checkpointed(rows.mapInPandas(
+    nameless = rows.where("id is null").select("text").distinct()
+    # a null among ids would turn them to floating point on their way to Python
+    sketches = checkpointed(rows.where("id is not null").mapInPandas(
         lambda parts: _sketches(parts, trees, depth, shingle),
         "id long, k1 long, k2 long, size long, paths array<long>",
     ))
     members = sketches.select("id", "k1", "k2", "size").distinct()
-    known = members.where("id is not null and size > 0")
-    entries = known.groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
+    entries = members.where("size > 0").groupBy("k1", "k2", "size").agg(F.min("id").alias("rep"), F.count("*").alias("weight"))
     entries = checkpointed(entries)
     own = sketches.where("size > 0").withColumnRenamed("id", "rep").join(entries, ["rep", "k1", "k2", "size"])
     nodes = own.dropDuplicates(["rep", "k1", "k2", "size"]).select("rep", F.explode("paths").alias("node"))
@@ -147,11 +148,11 @@ def near_duplicates(
     classes, links = _verified(docs, candidates, threshold, shingle, id_col, text_col)
     ids = members.join(entries, ["k1", "k2", "size"], "left")
     ids = ids.join(classes, "rep", "left").join(links, "rep", "left")
-    return ids.select(
-        F.col("id").alias(id_col), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("class_id"),
-        F.when(F.col("id").isNull(), F.lit(0)).otherwise(
-            F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"),
-    )
+    found = ids.select(
+        F.col("id").alias(id_col), F.coalesce("root", "rep", "id").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"))
+    none = F.lit(None).cast("long")
+    return found.unionByName(nameless.select(none.alias(id_col), none.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, threshold: float, shingle: int, id_col: str, text_col: str):

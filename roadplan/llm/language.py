@@ -27,7 +27,12 @@ CHAIN_WORDS = 256
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of the text is a letter; numbers written as signs are not."""
+    return _ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text))
 
 
 class Words:
@@ -139,7 +144,7 @@ class LanguageModel:
             best = total.argmax(axis=1)
             count = np.maximum(total.sum(axis=1), 1e-9)
             for t in range(i, j):
-                known = _LETTER.search(texts[t]) is not None and total[t - i].sum() > 0
+                known = has_letter(texts[t]) and total[t - i].sum() > 0
                 names.append(self.languages[best[t - i]] if known else UNKNOWN)
                 scores[t] = min(1.0, total[t - i].max() / count[t - i]) if known else 0.0
         return names, scores

@@ -16,6 +16,9 @@ from bisect import bisect_left, insort
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from roadplan.operators.spatial import checkpointed
 
 LENGTHS = (512, 1024, 2048, 4096)
 FIXED, QUADRATIC = 64.0, 8192.0
@@ -78,19 +81,23 @@ def packed_pieces(
         tokens = F.when(F.element_at(words, 1) == "", 0).otherwise(F.size(words))
     else:
         tokens = F.greatest(F.coalesce(F.col(length_col), F.lit(0)), F.lit(0))
-    sized = docs.select(F.col(id_col).alias("id"), tokens.cast("long").alias("tokens"))
+    # words are counted once, and a null id is set apart: among others it would turn them to floating point in Python
+    id_type = docs.schema[id_col].dataType
+    known = F.coalesce(F.col(id_col), F.lit(0).cast(id_type)) if isinstance(id_type, IntegralType) else F.col(id_col)
+    sized = checkpointed(docs.select(
+        known.alias("id"), F.col(id_col).isNull().alias("none"), tokens.cast("long").alias("tokens")))
     longest = F.lit(lengths[-1])
     pieces = sized.select(
-        "id", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(
+        "id", "none", "tokens", F.explode(F.sequence(F.lit(0), F.greatest(
             F.ceil(F.col("tokens") / longest) - 1, F.lit(0)).cast("int"))).alias("piece"),
-    ).select("id", "piece", (F.col("piece") * longest).cast("long").alias("start"),
+    ).select("id", "none", "piece", (F.col("piece") * longest).cast("long").alias("start"),
              F.least(F.col("tokens") - F.col("piece") * longest, longest.cast("long")).cast("int").alias("n_tokens"))
     total = pieces.count()
     shards = max(1, -(-total // shard_pieces))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(3)), F.lit(shards)).cast("int"))
 
     def pack_shard(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n_tokens", "id", "piece"], ascending=[False, True, True], kind="stable")
+        part = part.sort_values(["n_tokens", "none", "id", "piece"], ascending=[False, True, True, True], kind="stable")
         filled = part["n_tokens"] > 0
         places = pack(part.loc[filled, "n_tokens"].tolist(), lengths)
         part["bin_no"] = pd.Series([p[0] for p in places], part.index[filled], dtype="Int64")
@@ -98,11 +105,10 @@ def packed_pieces(
         part["bin_length"] = pd.Series([p[2] for p in places], part.index[filled], dtype="Int64")
         return part
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     out = pieces.groupBy("shard").applyInPandas(
-        pack_shard, f"id {id_type}, piece int, start long, n_tokens int, shard int, bin_no long, offset int, bin_length int")
+        pack_shard, f"id {id_type.simpleString()}, none boolean, piece int, start long, n_tokens int, shard int, bin_no long, offset int, bin_length int")
     return out.select(
-        F.col("id").alias(id_col), "piece", "start", "n_tokens",
+        F.when(~F.col("none"), F.col("id")).alias(id_col), "piece", "start", "n_tokens",
         F.concat_ws("-", "shard", F.when(F.col("bin_no").isNotNull(), F.col("bin_no"))).alias("_bin"), "bin_no", "shard",
         "bin_length", "offset",
     ).select(

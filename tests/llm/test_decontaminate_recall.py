@@ -50,10 +50,10 @@ def substituted(sizes, seed):
     return rows, items
 
 
-def found(spark, rows, items, **kw):
+def found(spark, rows, items):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    return {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.overlaps(docs, bench, **kw).collect()}
+    return {(r.doc_id, r.item_id): tuple(r)[2:] for r in decontaminate.overlaps(docs, bench).collect()}
 
 
 def test_items_of_twelve_and_more_words_equal_all_windows(spark):
@@ -68,11 +68,17 @@ def test_items_of_eight_to_eleven_words_equal_all_windows(spark):
     assert len(want) == len(rows) and found(spark, rows, items) == want
 
 
-def test_items_under_eight_words_are_found_whole(spark):
+def test_items_of_one_to_seven_words_equal_all_windows(spark):
+    rows, items = substituted([1, 2, 3, 4, 5, 6, 7], 3)
+    want = every_window(rows, items)
+    assert len(want) == len(rows) and found(spark, rows, items) == want
+
+
+def test_short_and_long_items_together(spark):
     items = [(1, "one"), (2, "two words"), (3, "a b c d e f g"), (4, ""), (5, " ".join(f"l{k}" for k in range(20)))]
     rows = [(1, "no such thing"), (2, "One, two words; two words"), (3, "a b c d e x g"), (4, "z a b c d e f g one"),
-            (5, ""), (6, items[4][1] + " one")]
-    want = {(2, 1): (1, 1, 0, 0), (2, 2): (2, 2, 1, 0), (4, 1): (1, 1, 8, 0), (4, 3): (7, 7, 1, 0),
+            (5, ""), (6, items[4][1] + " one"), (7, "a b x d e y g"), (8, "b c d e f g")]
+    want = {(2, 1): (1, 1, 0, 0), (2, 2): (2, 2, 1, 0), (3, 3): (6, 7, 0, 0), (4, 1): (1, 1, 8, 0), (4, 3): (7, 7, 1, 0),
             (6, 1): (1, 1, 20, 0), (6, 5): (15, 15, 0, 0)}
-    assert found(spark, rows, items, brief=True) == want
-    assert found(spark, rows, items[:3], brief=True) == {k: v for k, v in want.items() if k[1] < 4}
+    assert found(spark, rows, items) == want
+    assert found(spark, rows, items[:3]) == {k: v for k, v in want.items() if k[1] < 4}

@@ -74,7 +74,7 @@ def plain_overlaps(rows, items):
         words = split(text)
         for item, it in items:
             iw = split(it)
-            if i is None or len(iw) < 8:
+            if i is None or not iw:
                 continue
             size = min(15, len(iw))
             masks = list(decontaminate.MASKS) + (["11111111"] if len(iw) < 12 else [])
@@ -85,6 +85,8 @@ def plain_overlaps(rows, items):
                     for b in range(len(iw) - len(m) + 1):
                         if all(words[a + k] == iw[b + k] for k in on):
                             shifts.add(a - b)
+            if len(iw) < 8:
+                shifts = set(range(len(words)))
             for s in shifts:
                 for b in range(max(0, -s), min(len(iw), len(words) - s) - size + 1):
                     n = sum(words[b + s + k] == iw[b + k] for k in range(size))
