@@ -2,6 +2,7 @@
 
 from oracle import parts as O
 from oracle.parts import MAJOR, PAVED, elevation, flood_base, haversine, planar, with_ctes
+from roadplan.sources import defaults
 
 SQL: dict[str, str] = {}
 
@@ -92,6 +93,11 @@ SELECT way_id, count(*) AS edges, round(sum(distance_m), 3) AS distance_m FROM e
 SQL["adjacency"] = with_ctes("edge", """
 SELECT node_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree
 FROM (SELECT source AS node_id, 1 AS o, 0 AS i FROM edge UNION ALL SELECT target, 0, 1 FROM edge) GROUP BY node_id""")
+SQL["adjacency_lists"] = with_ctes("edge", """
+SELECT node_id, 0 AS part, coalesce(string_agg(o, ',' ORDER BY edge_id) FILTER (o IS NOT NULL), '') AS out,
+       coalesce(string_agg(i, ',' ORDER BY edge_id) FILTER (i IS NOT NULL), '') AS into
+FROM (SELECT source AS node_id, edge_id, edge_id || '>' || target AS o, NULL AS i FROM edge
+      UNION ALL SELECT target, edge_id, NULL, edge_id || '>' || source FROM edge) GROUP BY node_id""")
 SQL["network_stats"] = with_ctes("edge network_node major_way", """
 SELECT (SELECT count(*) FROM major_way) AS total_roads, (SELECT count(*) FROM network_node) AS total_nodes,
        (SELECT count(*) FROM edge) AS total_edges,
@@ -135,6 +141,9 @@ SELECT route_id, criterion AS variant, round(cost, 3) AS cost
 FROM ends JOIN reach ON origin = start_node AND node = end_node WHERE start_node <> end_node""")
 SQL["uncontracted_paths"] = SQL["path_costs"]
 
+SQL["two_sided_paths"] = with_ctes("path", """
+SELECT route_id, variant, (row_number() OVER (PARTITION BY route_id, variant ORDER BY hop))::INTEGER AS hop, edge_id FROM path""")
+
 
 def paths_under(criterion: str, edges: str, reads: str) -> str:
     """Least costs of all requests under one criterion; ``edges`` selects edge_id, source, target and the cost w."""
@@ -268,9 +277,21 @@ SQL["rainfall_lines"] = """
 SELECT CASE r_name WHEN 'MIDDLE EAST' THEN r_name ELSE r_name[1] || lower(r_name[2:]) END AS district,
        (900 + 300 * r_regionkey)::DOUBLE AS annual_mm FROM region WHERE r_regionkey % 2 = 1"""
 SQL["river_features"] = with_ctes("river_vertex", """
-SELECT name, 'river' AS waterway, (row_number() OVER (PARTITION BY river_id ORDER BY seq) - 1)::INTEGER AS seq, lat, lon
+SELECT (dense_rank() OVER (ORDER BY river_id) - 1)::BIGINT AS river_id, name, 'river' AS waterway, (row_number() OVER (PARTITION BY river_id ORDER BY seq) - 1)::INTEGER AS seq, lat, lon
 FROM river_vertex""")
-SQL["settlement_features"] = with_ctes("settlement", "SELECT name, place, lat, lon, population FROM settlement")
+SQL["settlement_features"] = with_ctes("settlement river_vertex", """
+SELECT (SELECT count(DISTINCT river_id) FROM river_vertex) + row_number() OVER (ORDER BY feature_seq) - 1 AS feature_seq,
+       name, place, lat, lon, population FROM settlement""")
+SQL["source_choice"] = f"""
+SELECT 'whole' AS source, 'file' AS used, (SELECT count(*) FROM supplier) AS places
+UNION ALL SELECT unnest(['broken', 'missing']), 'default', {len(defaults.SETTLEMENTS)}"""
+SQL["builtin_tourism"] = with_ctes("near_tourism", """
+SELECT route_id, variant, rank, name, score, distance_from_route_km
+FROM (SELECT *, row_number() OVER (PARTITION BY route_id, variant ORDER BY score DESC, wp_seq, feature_seq) AS rank
+      FROM near_tourism) WHERE rank <= 3""", tourism=([], "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{name}', {lat}::DOUBLE, {lon}::DOUBLE, {score})"
+    for i, (name, lat, lon, _, score, _) in enumerate(defaults.TOURISM_SPOTS)
+) + ") AS t(feature_seq, name, lat, lon, score)", "tourism"))
 SQL["osm_ways"] = with_ctes("way vertex", """
 SELECT way_id, pos, ref, lat, lon, highway_type AS highway, raw_surface AS surface, raw_name AS name
 FROM vertex JOIN way USING (way_id)""")

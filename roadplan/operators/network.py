@@ -1,7 +1,6 @@
 """Road network from ways: filtering, quality log, nodes, directed edges and statistics.
 
-Vertex rows ``(way_id, pos, ref, lat, lon)`` number a way's vertices from 0 without gaps. Neighbours are found by
-an equi-join on ``(way_id, pos)``, so a very long way is spread over all tasks like any other rows.
+Vertex rows ``(way_id, pos, ref, lat, lon)`` order a way's vertices by ``pos``, which may have gaps.
 """
 
 from __future__ import annotations
@@ -11,18 +10,19 @@ from pyspark.sql import functions as F
 
 from roadplan.functions import cost as C
 from roadplan.functions.geometry import haversine_m, round_places
-from roadplan.operators.spatial import HAVERSINE_M, Targets, attach_nearest
+from roadplan.operators.sequence import with_next
+from roadplan.operators.spatial import HAVERSINE_M, checkpointed, places_within
 
 SOCIAL_RADIUS_M = 1000.0
 LOGGED_ISSUES = 10
 
 
 def locate(way_refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Vertex rows with coordinates; ways that refer to an unknown node are left out whole."""
-    known = nodes.select(F.col("node_id").alias("ref"), "lat", "lon")
-    return way_refs.join(known, "ref").join(unlocated_ways(way_refs, nodes), "way_id", "left_anti").select(
-        "way_id", "pos", "ref", "lat", "lon"
-    )
+    """Vertex rows with coordinates; ways that refer to an unknown node are left out whole. Members are read once."""
+    known = nodes.select(F.col("node_id").alias("ref"), "lat", "lon", F.lit(True).alias("known"))
+    placed = checkpointed(way_refs.join(known, "ref", "left"))
+    unknown = placed.where("known is null").select("way_id").distinct()
+    return placed.join(unknown, "way_id", "left_anti").select("way_id", "pos", "ref", "lat", "lon")
 
 
 def unlocated_ways(way_refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def kept_way_ids(
     """
     kept = ways if classes is None else ways.where(F.col("tags")["highway"].isin(classes))
     kept = kept.where(F.col("tags")["highway"].isNotNull()).select("way_id")
-    kept = kept.join(vertices.where(F.col("pos") == 1).select("way_id"), "way_id", "left_semi")
+    drawn = vertices.groupBy("way_id").count().where(F.col("count") > 1)
+    kept = kept.join(drawn.select("way_id"), "way_id", "left_semi")
     if bbox is not None:
         south, west, north, east = bbox
         inside = vertices.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
@@ -98,14 +99,10 @@ def directed_edges(vertices: DataFrame, ways: DataFrame) -> DataFrame:
 
     ``ways`` are tagged ways; vertices of other ways are dropped.
     """
-    end = vertices.select(
-        "way_id", (F.col("pos") - 1).alias("pos"), F.col("ref").alias("target"),
-        F.col("lat").alias("lat2"), F.col("lon").alias("lon2"),
-    )
-    start = vertices.select(
-        "way_id", "pos", F.col("ref").alias("source"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")
-    )
-    return start.join(end, ["way_id", "pos"]).join(ways, "way_id").select(
+    joined = with_next(vertices, "way_id", "pos", ["ref", "lat", "lon"]).where("next_ref is not null").select(
+        "way_id", "pos", F.col("ref").alias("source"), F.col("next_ref").alias("target"), F.col("lat").alias("lat1"),
+        F.col("lon").alias("lon1"), F.col("next_lat").alias("lat2"), F.col("next_lon").alias("lon2"))
+    return joined.join(ways, "way_id").select(
         F.concat_ws("_", "way_id", "pos").alias("edge_id"), "way_id", "pos", "source", "target",
         "lat1", "lon1", "lat2", "lon2",
         haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("distance_m"),
@@ -139,6 +136,29 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
+LIST_EDGES = 10_000
+
+
+def adjacency_lists(edges: DataFrame, list_edges: int = LIST_EDGES) -> DataFrame:
+    """(node_id, part, out, into): edges that leave and enter a node, as lists of (edge_id, node at the other end).
+
+    Lists are in the order of the edge ids. A node of more than ``list_edges`` edges is dealt over several parts
+    by a hash of the edge id, so no list grows with a hub.
+    """
+    role = F.inline(F.array(
+        F.struct(F.col("source").alias("node_id"), F.lit(0).alias("side"), F.col("target").alias("other")),
+        F.struct(F.col("target").alias("node_id"), F.lit(1).alias("side"), F.col("source").alias("other")),
+    ))
+    ends = edges.select("edge_id", role)
+    hubs = ends.groupBy("node_id").count().where(F.col("count") > list_edges).select(
+        "node_id", F.ceil(F.col("count") / list_edges).alias("parts"))
+    dealt = ends.join(hubs, "node_id", "left").withColumn(
+        "part", F.pmod(F.xxhash64("edge_id"), F.coalesce("parts", F.lit(1))).cast("int"))
+    lists = lambda side: F.array_sort(F.collect_list(
+        F.when(F.col("side") == side, F.struct("edge_id", F.col("other").alias("node")))))
+    return dealt.groupBy("node_id", "part").agg(lists(0).alias("out"), lists(1).alias("into"))
+
+
 def network_stats(ways: DataFrame, nodes: DataFrame, edges: DataFrame, issues: DataFrame) -> DataFrame:
     """One row of totals."""
     one = lambda df, name: df.select(F.lit(name).alias("what"))
@@ -150,22 +170,15 @@ def network_stats(ways: DataFrame, nodes: DataFrame, edges: DataFrame, issues: D
     return counted.agg(*[F.count(F.when(F.col("what") == n, 1)).alias(n) for n in names])
 
 
-def settlement_targets(settlements: DataFrame) -> Targets:
-    targets = settlements.select(
-        F.col("feature_seq").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon")
-    )
-    return Targets(targets, HAVERSINE_M, SOCIAL_RADIUS_M)
-
-
 def near_settlement(edges: DataFrame, settlements: DataFrame) -> DataFrame:
     """``edges`` with ``near_settlement``: some settlement is under 1 km from the edge's midpoint."""
     middle = edges.withColumn("lat", (F.col("lat1") + F.col("lat2")) / 2).withColumn(
         "lon", (F.col("lon1") + F.col("lon2")) / 2
     )
-    near = F.coalesce(F.col("distance") < SOCIAL_RADIUS_M, F.lit(False))
-    return attach_nearest(middle, settlement_targets(settlements)).select(
-        *edges.columns, near.alias("near_settlement")
-    )
+    targets = settlements.select(F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"))
+    near = checkpointed(places_within(middle, targets, HAVERSINE_M, SOCIAL_RADIUS_M)).withColumn("near", F.lit(True))
+    return middle.join(near, ["lat", "lon"], "left").select(
+        *edges.columns, F.coalesce("near", F.lit(False)).alias("near_settlement"))
 
 
 def edge_costs(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numbering rows inside keys of any size."""
+"""Numbering rows inside keys of any size, and finding each row's successor."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,3 +34,22 @@ def number_rows(df: DataFrame, key: str, order: list[str], name: str, hot_rows:
         *df.columns, (F.col("inside") + F.col("shift")).cast("int").alias(name)
     )
     return usual.unionByName(numbered)
+
+
+def with_next(df: DataFrame, key: str, order: str, columns: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` with ``next_<column>`` of the row that follows in its key, null at the key's end.
+
+    ``order`` may have gaps. Keys of ordinary size use a window; the rows of larger keys are numbered across the cluster
+    and joined with their successors by number, so that no task holds a whole key.
+    """
+    window = W.partitionBy(key).orderBy(order)
+    following = lambda rows: rows.select("*", *[F.lead(c).over(window).alias(f"next_{c}") for c in columns])
+    hot = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    if hot.isEmpty():
+        return following(df)
+    hot = F.broadcast(checkpointed(hot))
+    numbered = checkpointed(number_rows(df.join(hot, key, "left_semi"), key, [order], "_number", hot_rows))
+    after = numbered.select(
+        key, (F.col("_number") - 1).alias("_number"), *[F.col(c).alias(f"next_{c}") for c in columns])
+    joined = numbered.join(after, [key, "_number"], "left").drop("_number")
+    return following(df.join(hot, key, "left_anti")).unionByName(joined)

@@ -73,9 +73,14 @@ def split_hot_cells(
     """Spread overfull cells over ``salt``, so that points and targets of a cell meet exactly once.
 
     A cell is cut into blocks of at most ``hot_rows`` rows of either side and about ``hot_pairs`` comparisons, whichever
-    side the crowd is on; the rows of one side are copied once per part of the other. Both sides are counted together.
+    side the crowd is on; the rows of one side are copied once per part of the other. Both sides are written first, so that
+    each is computed once, and counted together, unless their sizes rule out an overfull cell.
     Only cut cells are broadcast: each has more than ``hot_rows`` or ``sqrt(hot_pairs)`` rows, which bounds their number.
     """
+    points, targets = checkpointed(points), checkpointed(targets)
+    n_points, n_targets = points.count(), targets.count()
+    if max(n_points, n_targets) <= hot_rows and n_points * n_targets <= hot_pairs:
+        return points.withColumn("salt", F.lit(0)), targets.withColumn("salt", F.lit(0))
     mark = lambda side, p, t: side.select(*cell, F.lit(p).alias("p"), F.lit(t).alias("t"))
     counts = mark(points, 1, 0).unionAll(mark(targets, 0, 1)).groupBy(*cell).agg(
         F.sum("p").alias("p"), F.sum("t").alias("t"))
@@ -179,7 +184,7 @@ def nearest_index(places: DataFrame, targets: Targets, leaf: int = LEAF_TARGETS)
     metric, radius = targets.metric, targets.radius
     size = radius / metric.per_degree * 1.001
     spots = targets.rows.groupBy("t_lat", "t_lon").agg(F.min("target_id").alias("target_id"))
-    rows = cover_disc(spots, metric, radius, size)
+    rows = checkpointed(cover_disc(spots, metric, radius, size))
     leaves, dense = None, []
     for level in range(MAX_LEVELS):
         part = size / FANOUT ** level
@@ -223,7 +228,7 @@ def nearest_within(
     Returns ``lat, lon, target_id, t_lat, t_lon, distance`` for the places that have one; the smallest id
     wins a tie. Requests from the same place are looked up once.
     """
-    places = points.select("lat", "lon").distinct()
+    places = checkpointed(points.select("lat", "lon").distinct())
     index = nearest_index(places, targets, leaf)
     keyed = places.withColumn("level", F.lit(0))
     for level, full in enumerate(index.dense):
@@ -250,10 +255,23 @@ def nearest_within(
 
 def attach_nearest(points: DataFrame, targets: Targets, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``points`` with ``target_id, t_lat, t_lon, distance`` of the nearest target, null where none is in reach."""
-    left, right = split_hot_cells(points, nearest_within(points, targets, hot_rows), ["lat", "lon"], hot_rows)
-    return left.join(right, ["lat", "lon", "salt"], "left").select(
-        *points.columns, "target_id", "t_lat", "t_lon", "distance"
-    )
+    # one row per place; a place of very many points is a skewed key of an outer join, which adaptive execution splits
+    near = checkpointed(nearest_within(points, targets, hot_rows))
+    return points.join(near, ["lat", "lon"], "left").select(*points.columns, "target_id", "t_lat", "t_lon", "distance")
+
+
+def places_within(points: DataFrame, targets: DataFrame, metric: Metric, radius: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Distinct ``lat, lon`` of ``points`` with some target closer than ``radius``; no pair leaves the join."""
+    size = radius / metric.per_degree / 2
+    places = points.select("lat", "lon").distinct()
+    keyed = places.withColumn("iy", cell_of(F.col("lat"), size)).withColumn("ix", cell_of(F.col("lon"), size))
+    covered = cover_disc(targets.select("t_lat", "t_lon").distinct(), metric, radius, size)
+    left, right = split_hot_cells(keyed, covered, ["iy", "ix"], hot_rows)
+    left, right = left.alias("p"), right.alias("t")
+    near = metric.between(F.col("p.lat"), F.col("p.lon"), F.col("t.t_lat"), F.col("t.t_lon")) < radius
+    for name in ("iy", "ix", "salt"):
+        near &= F.col(f"p.{name}") == F.col(f"t.{name}")
+    return left.join(right, near, "left_semi").select("lat", "lon").distinct()
 
 
 def cover_line(lines: DataFrame, size: float) -> DataFrame:

@@ -19,6 +19,7 @@ from roadplan.operators.polyline import (
 )
 from roadplan.operators.spatial import PLANAR_M, Targets, attach_nearest, checkpointed, split_hot_cells
 from roadplan.operators.survey import earthwork
+from roadplan.operators.two_sided import two_sided_paths
 from roadplan.operators.utilization import road_utilization
 from roadplan.plans.curve import site_risks
 
@@ -83,13 +84,14 @@ def route_status(snapped: DataFrame, reached: DataFrame, unfinished: DataFrame)
 
 def find_routes(
     requests: DataFrame, nodes: DataFrame, edges: DataFrame, criteria: list[str] = CRITERIA,
-    contract: bool = True, max_rounds: int | None = None,
+    contract: bool = True, max_rounds: int | None = None, both_ends: bool = True,
 ) -> NetworkRoutes:
     """Snap, search and describe the paths of all requests at once.
 
     ``edges`` carry attributes and one cost column per criterion. Requests between the same nodes share
     one search. With ``contract`` chains of nodes without a junction are searched as single edges. A criterion may be
-    any column of non-negative costs. With ``max_rounds`` the status of requests whose search was cut short is
+    any column of non-negative costs. Searches go from both ends, or with ``both_ends`` off from the source alone, with the
+    same result. With ``max_rounds`` the status of requests whose search was cut short is
     ``UNFINISHED``, and such a search gives no route.
     """
     snapped = checkpointed(snapped_ends(requests, node_targets(nodes)))
@@ -99,13 +101,14 @@ def find_routes(
         F.col("start_node").alias("source"), F.col("end_node").alias("target"),
     ).distinct()
     factors = P.least_factors(edges, criteria, P.LEAST_FACTOR)
+    search = two_sided_paths if both_ends else P.least_cost_paths
     if contract:
         stops = searches.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
         members = P.chain_members(edges, stops)
-        table = P.least_cost_paths(searches, nodes, P.contract(edges, members, criteria), criteria, max_rounds, factors)
+        table = search(searches, nodes, P.contract(edges, members, criteria), criteria, max_rounds, factors)
         steps = P.expand(P.path_edges(table), members)
     else:
-        table = P.least_cost_paths(searches, nodes, edges, criteria, max_rounds, factors)
+        table = search(searches, nodes, edges, criteria, max_rounds, factors)
         steps = P.path_edges(table).withColumn("rank", F.lit(0))
     reached = P.arrivals(table)
     per_request = both.select("route_id", F.col("start_node").alias("source"), F.col("end_node").alias("target"))

@@ -37,6 +37,20 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+STORED: dict[tuple, object] = {}
+
+
+def stored(fn: Callable):
+    """Once per session and folder: what many queries build on is computed and written by the first that asks for it."""
+    def once(spark: SparkSession, sf: str):
+        key = (spark.sparkContext.applicationId, fn.__name__, sf)
+        if key not in STORED:
+            STORED[key] = fn(spark, sf)
+        return STORED[key]
+
+    return once
+
+
 def c(name: str):
     return F.col(name)
 
@@ -195,12 +209,14 @@ QUERIES["route_plan"] = plan
 BBOX = (29.0, 78.0, 31.0, 80.5)
 
 
+@stored
 def vertices(spark: SparkSession, sf: str) -> DataFrame:
-    return N.locate(X.way_refs(spark, sf), X.nodes(spark, sf))
+    return checkpointed(N.locate(X.way_refs(spark, sf), X.nodes(spark, sf)))
 
 
+@stored
 def major_ways(spark: SparkSession, sf: str) -> DataFrame:
-    return N.filtered_ways(X.ways(spark, sf), vertices(spark, sf))
+    return checkpointed(N.filtered_ways(X.ways(spark, sf), vertices(spark, sf)))
 
 
 def all_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -208,6 +224,7 @@ def all_edges(spark: SparkSession, sf: str) -> DataFrame:
     return N.directed_edges(vertices(spark, sf), N.tagged_ways(X.ways(spark, sf)))
 
 
+@stored
 def network(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of the major-road network, stored once because later steps read them many times."""
     points, ways = vertices(spark, sf), major_ways(spark, sf)
@@ -254,6 +271,14 @@ def adjacency(spark, sf):
     return N.adjacency(N.directed_edges(vertices(spark, sf), major_ways(spark, sf)))
 
 
+@query
+def adjacency_lists(spark, sf):
+    """Every node's edges out and in, lists as texts."""
+    lists = N.adjacency_lists(N.directed_edges(vertices(spark, sf), major_ways(spark, sf)))
+    text = lambda side: F.array_join(F.transform(side, lambda x: F.concat_ws(">", x["edge_id"], x["node"])), ",").alias(side)
+    return lists.select("node_id", "part", text("out"), text("into"))
+
+
 @query
 def network_stats(spark, sf):
     ways = major_ways(spark, sf)
@@ -305,6 +330,7 @@ def snap(spark, sf):
     )
 
 
+@stored
 def found_routes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, G.NetworkRoutes]:
     nodes, roads = network(spark, sf)
     return nodes, roads, G.find_routes(spread_requests(spark, sf), nodes, roads)
@@ -355,7 +381,16 @@ def contracted_paths(spark, sf):
 
 @query
 def uncontracted_paths(spark, sf):
-    return searched(spark, sf, network(spark, sf)[1], ["shortest", "safest"], contract=False)
+    """Searched from the source alone, over the roads as they are."""
+    return searched(spark, sf, network(spark, sf)[1], ["shortest", "safest"], contract=False, both_ends=False)
+
+
+@query
+def two_sided_paths(spark, sf):
+    """Edges of every path, searched from both ends over the roads as they are."""
+    nodes, roads = network(spark, sf)
+    found = G.find_routes(spread_requests(spark, sf), nodes, roads, ["shortest", "safest"], contract=False)
+    return found.segments.select(*KEY, "hop", "edge_id")
 
 
 @query
@@ -550,21 +585,52 @@ def feature_file(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("Feature").alias("type"), F.struct(F.lit(kind).alias("type"), at.alias("coordinates")).alias("geometry"),
         F.struct(*properties).alias("properties"))).alias("value")
     drawn = X.river_vertices(spark, sf).groupBy("river_id", "name").agg(line.alias("line"))
-    lines = drawn.select(feature("LineString", c("line"), "name", F.lit("river").alias("waterway"))).unionByName(
-        X.settlements(spark, sf).select(feature("Point", pair(), "name", "place", "population")))
+    lines = drawn.select(
+        F.lit(0).alias("kind"), c("river_id").alias("id"),
+        feature("LineString", c("line"), "name", F.lit("river").alias("waterway"))).unionByName(X.settlements(spark, sf).select(
+            F.lit(1).alias("kind"), c("feature_seq").alias("id"), feature("Point", pair(), "name", "place", "population")))
     path = fresh_folder(spark)
-    lines.write.text(path)
+    lines.repartitionByRange(4, "kind", "id").sortWithinPartitions("kind", "id").select("value").write.text(path)
     return files.read_features(spark, path, one_per_line=True)
 
 
 @query
 def river_features(spark, sf):
-    return files.line_vertices(feature_file(spark, sf)).drop("river_id")
+    return files.line_vertices(feature_file(spark, sf))
 
 
 @query
 def settlement_features(spark, sf):
-    return files.point_places(feature_file(spark, sf)).drop("feature_seq")
+    return files.point_places(feature_file(spark, sf))
+
+
+@query
+def source_choice(spark, sf):
+    """Settlements from a file that is whole, from one broken at its last row, and from none: which source is used."""
+    path, count = fresh_folder(spark), lambda df: df.agg(F.count("*").alias("places"))
+    lines = X.settlements(spark, sf).select("feature_seq", F.to_json(F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"),
+        F.struct("name", "place").alias("properties"))).alias("value"))
+    lines.select("value").write.text(f"{path}/whole")
+    last = lines.agg(F.max("feature_seq")).first()[0]
+    broken = lines.withColumn("value", F.when(c("feature_seq") == last, F.substring("value", 1, 40)).otherwise(c("value")))
+    broken.coalesce(1).sortWithinPartitions("feature_seq").select("value").write.text(f"{path}/broken")
+    rows = None
+    for name in ("whole", "broken", "missing"):
+        found, own = files.choose_source(
+            lambda name=name: files.point_places(files.read_features(spark, f"{path}/{name}", one_per_line=True)),
+            defaults.settlements(spark))
+        row = count(found).select(F.lit(name).alias("source"), F.lit("file" if own else "default").alias("used"), "places")
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+@query
+def builtin_tourism(spark, sf):
+    """Tourism spots of the built-in table near the routes, the best three of each."""
+    near = P.top_tourism(P.tourism_near(routes(spark, sf), defaults.tourism_spots(spark)), 3)
+    return near.select(*KEY, "rank", "name", "score", "distance_from_route_km")
 
 
 @query

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadplan.functions.risk import DEFAULT_RAINFALL_MM
+from roadplan.operators.sequence import number_rows
 
 # Fixed value: the district looked up when none is named.
 DEFAULT_DISTRICT = "Uttarkashi"
@@ -30,14 +31,29 @@ EDGE = (
 SNAPSHOT = f"nodes map<string, {NODE}>, edges map<string, {EDGE}>, metadata map<string, string>"
 
 
-def load_or_default(read: Callable[[], DataFrame], default: DataFrame) -> DataFrame:
-    """``read()``, or ``default`` when the source is missing or its first rows cannot be read."""
+def choose_source(read: Callable[[], DataFrame], default: DataFrame) -> tuple[DataFrame, bool]:
+    """``read()`` and True, or ``default`` and False when the source is missing or any of it cannot be read.
+
+    The whole source is read once before the choice, so that a row that is broken behind good ones counts as well.
+    """
     try:
         loaded = read()
-        loaded.isEmpty()
-        return loaded
+        loaded.write.format("noop").mode("overwrite").save()
+        return loaded, True
     except (PySparkException, Py4JJavaError):
-        return default
+        return default, False
+
+
+def load_or_default(read: Callable[[], DataFrame], default: DataFrame) -> DataFrame:
+    """``read()``, or ``default`` when the source is missing or any of it cannot be read."""
+    return choose_source(read, default)[0]
+
+
+def place_in_source() -> Column:
+    """Order of a row among all rows of its source: file, block within it, row within the block."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))
 
 
 def rainfall_lines(lines: DataFrame, districts: list[str]) -> DataFrame:
@@ -61,7 +77,7 @@ def rainfall_lines(lines: DataFrame, districts: list[str]) -> DataFrame:
 def read_rainfall(spark: SparkSession, path: str, districts: list[str] | None = None) -> DataFrame:
     """One row per named district; districts without a usable line get the default."""
     names = districts or [DEFAULT_DISTRICT]
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    lines = spark.read.text(path).select("value", place_in_source().alias("line_no"))
     wanted = spark.createDataFrame([(n,) for n in names], "district string")
     found = rainfall_lines(lines, names)
     return wanted.join(found, "district", "left").select(
@@ -73,11 +89,14 @@ def read_features(spark: SparkSession, path: str, one_per_line: bool = False) ->
     """GeoJSON features as ``feature_seq, geometry, properties``.
 
     A FeatureCollection document is one JSON value and so one task's work; large data should come with one
-    feature per line.
+    feature per line. Features are numbered in the order of files and lines, however the files are split. A feature that
+    cannot be read is an error when it is reached.
     """
     if one_per_line:
-        rows = spark.read.schema(FEATURE_LINE).json(path)
-        return rows.select(F.monotonically_increasing_id().alias("feature_seq"), "geometry", "properties")
+        rows = spark.read.schema(FEATURE_LINE).option("mode", "FAILFAST").json(path)
+        placed = rows.select(F.lit(0).alias("source"), place_in_source().alias("at"), "geometry", "properties")
+        return number_rows(placed, "source", ["at"], "feature_seq").select(
+            F.col("feature_seq").cast("bigint").alias("feature_seq"), "geometry", "properties")
     documents = spark.read.schema(FEATURES).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return documents.select(F.posexplode("features").alias("feature_seq", "f")).select(
         F.col("feature_seq").cast("bigint").alias("feature_seq"), "f.geometry", "f.properties"
