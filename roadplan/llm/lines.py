@@ -150,8 +150,10 @@ def drop_frequent_lines(
 
 def without_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays; every other column, whatever its name, keeps its values."""
-    rows = _with_lines(docs, min_docs, min_chars, "doc_id", "text")
-    return rows.withColumn("text", F.col("_lines.text")).select(docs.columns)
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    rows = _with_lines(whole, min_docs, min_chars, "doc_id", "text")
+    return rows.select(*[
+        F.col("_lines.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame) -> DataFrame:

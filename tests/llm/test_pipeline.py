@@ -30,3 +30,11 @@ def test_run_and_extra_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "score", "n_lines"]
+
+
+def test_line_dedup_keeps_the_values_of_clashing_columns(spark, sf):
+    rows = [(i, f"head\nown {i}", f"n{i}", "d", "k") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string, n_dropped string, _lines string")
+    found = corpus_pipeline.dedup_lines(spark, docs, sf)
+    assert found.columns == docs.columns
+    assert sorted(map(tuple, found.collect())) == sorted((i, f"own {i}", n, d, k) for i, _, n, d, k in rows)
